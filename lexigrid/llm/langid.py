@@ -106,17 +106,20 @@ class BackoffModel:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and of n-grams of distinct words, by language."""
+    """Counts of words, and of n-grams of words, by language; n-grams are counted once for each different word of a batch."""
     for batch in batches:
-        counts: Counter = Counter()
+        words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w, c in Counter(words_of(text)).items():
-                counts[lang, 0, w] += c
+            words[lang].update(words_of(text))
+        for lang, counts in words.items():
+            kinds = [list(counts.items())] + [Counter() for _ in range(LONGEST)]
+            for w, c in counts.items():
                 for n in range(1, LONGEST + 1):
                     for g in grams_of(w, n):
-                        counts[lang, n, g] += c
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "gram", "c"])
+                        kinds[n][g] += c
+            for n, kind in enumerate(kinds):
+                rows = kind if n == 0 else list(kind.items())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([n] * len(rows), pa.int32()), pa.array([g for g, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["lang", "n", "gram", "c"])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS) -> BackoffModel:

@@ -35,7 +35,7 @@ from .runtime import prepare
 
 COMMON, BUCKETS, WIDTH, SPAN = 96, 32, 16, 2
 #: Words that the model knows by themselves, and documents that start the network.
-VOCABULARY, SAMPLE, STRIDE = 60_000, 1_000, 16
+VOCABULARY, SAMPLE, STRIDE = 60_000, 400, 16
 _U = np.uint64
 
 
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY, sam
         return None
     net = WindowNetwork(words.size)
     ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    first = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.substring("text", 1, 4000).alias("text")).limit(sample).toArrow()["text"].combine_chunks()  # at most sample x 4000 characters start the network
+    first = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text")).limit(sample).toArrow()["text"].combine_chunks()  # at most ``sample`` whole texts
     if len(first):
         values, offsets = tk.text_buffers(first)
         order = np.random.default_rng(3)
