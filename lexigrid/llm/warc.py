@@ -40,7 +40,7 @@ _MEMBER = 1 << 24
 _DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"(?:^|(?<=\n))WARC/1\.\d\r?\n")
-_LEVEL = 5
+_LEVEL, _STEP = 5, 1 << 14
 
 
 def record_uuid(page_id: int | None) -> str:
@@ -170,11 +170,13 @@ def _plain(data: bytes) -> Iterator[Found]:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """A member's content and its end; raises if its checks fail."""
-    packer = zlib.decompressobj(31)
-    out = packer.decompress(memoryview(data)[at:])
+    packer, view, out = zlib.decompressobj(31), memoryview(data), []
+    while at < len(data) and not packer.eof:  # in steps, as what is left over is copied
+        out.append(packer.decompress(view[at : at + _STEP]))
+        at += _STEP
     if not packer.eof:
         raise zlib.error("cut short")
-    return out, len(data) - len(packer.unused_data)
+    return b"".join(out), min(at, len(data)) - len(packer.unused_data)
 
 
 def _zipped(data: bytes) -> Iterator[Found]:
