@@ -7,7 +7,8 @@ text's language has the greatest sum; its score is that language's share under
 a softmax of the sums, tempered by the number of words.
 
 The model is fitted on at most PER_LANGUAGE documents of each language, those of
-the smallest hash of doc_id among documents that are not held out, and keeps the
+the smallest hashes of doc_id (in each of BUCKETS buckets of ids) among documents
+that are not held out, and keeps the
 GRAMS commonest words and the GRAMS commonest n-grams of them. Prediction covers
 every text whole and reads nothing but the text.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .runtime import prepare
 
-PER_LANGUAGE, GRAMS, LONGEST = 2_000, 60_000, 5
+PER_LANGUAGE, BUCKETS, GRAMS, LONGEST = 2_048, 64, 60_000, 5
 #: Unknown words whose result a worker remembers before it starts anew.
 REMEMBERED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -125,9 +126,11 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS) -> BackoffModel:
     """Fit on at most per_language documents of each language."""
     prepare(docs.sparkSession)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A language's share is dealt over buckets of ids, so that no task ranks a whole language.
+    order = Window.partitionBy("lang", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = docs.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id").distinct()
+    dealt = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKETS)).alias("bucket"))
+    chosen = dealt.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(1, per_language // BUCKETS)).select("doc_id").distinct()
     seen = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = seen.mapInArrow(_counter, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     by_gram = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).checkpoint()
