@@ -208,7 +208,7 @@ def _scorer(shared):
                 each = shares.astype(np.float64)
                 for a in range(0, len(classes), 8192):
                     each[a : a + 8192] += net.log_probs(around[a : a + 8192], classes[a : a + 8192])
-                total = np.bincount(np.repeat(np.arange(j - i), counts), weights=each, minlength=j - i)
+                total = np.bincount(np.repeat(np.arange(j - i), counts), weights=each, minlength=j - i).astype(np.float64)
                 mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 

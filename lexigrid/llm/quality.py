@@ -92,7 +92,7 @@ class Discriminant:
     def __init__(self, x: np.ndarray, y: np.ndarray, shrink: float = SHRINK, pool: float = POOL):
         self.prior = float(y.mean()) if len(y) else 0.5
         self.classes = []
-        if not 0 < self.prior < 1:
+        if not len(y) or not 0 < self.prior < 1:
             return
         self.center, self.scale = x.mean(0), x.std(0) + 1e-6
         z = self._scaled(x)
