@@ -8,7 +8,8 @@ over sliding windows of lines; where the sum rises from the ground is a surge,
 where it falls back a dive, and the stretch of the largest total between the two
 is the article. Its ends are then set to the container that holds it: an article
 or main element if there is one, else the lines beside it with the same parent,
-so that short headings and paragraphs at either end stay.
+so that short headings and paragraphs at either end stay and lines of other
+containers beside it go.
 
 Edge cases: a null or empty page, and one without text, gives an empty text;
 unclosed and stray tags, comments and quotes are tolerated; a text in no element
@@ -51,10 +52,12 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class _Line:
-    __slots__ = ("parts", "links", "parent", "good", "bad")
+    __slots__ = ("parts", "links", "parent", "inside", "good", "bad")
 
-    def __init__(self, parent: int, good: int, bad: bool):
-        self.parts, self.links, self.parent, self.good, self.bad = [], 0, parent, good, bad
+    def __init__(self, stack: list):
+        """inside: the containers around the line's own, but for the page's outermost."""
+        _, self.parent, self.good, self.bad = stack[-1]
+        self.parts, self.links, self.inside = [], 0, [number for name, number, *_ in stack if name not in ("", "html", "body")]
 
 
 def _marks(attributes: str) -> tuple[set[str], bool]:
@@ -111,8 +114,7 @@ def lines_of(page: str) -> list[_Line]:
 
 def _text(text: str, line: _Line | None, stack: list, links: int, lines: list[_Line]) -> _Line:
     if line is None:
-        _, parent, good, bad = stack[-1]
-        line = _Line(parent, good, bad)
+        line = _Line(stack)
         lines.append(line)
     line.parts.append(text)
     if links:
@@ -132,10 +134,20 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if lines[peak].good >= 0:
         chosen = [i for i, x in enumerate(lines) if x.good == lines[peak].good]
     else:
-        parents = {x.parent for x, w in zip(lines[first : last + 1], weights[first : last + 1], strict=True) if w}
-        while first > 0 and lines[first - 1].parent in parents and weights[first - 1]:
+        level = min(surge, weights[peak])
+        homes = {x.parent for x, w in zip(lines[first : last + 1], weights[first : last + 1], strict=True) if w >= level}
+
+        def at_home(i: int) -> bool:
+            own = lines[i].inside
+            return lines[i].parent in homes or any(c in homes for c in own)
+
+        while first < last and not at_home(first):
+            first += 1
+        while last > first and not at_home(last):
+            last -= 1
+        while first > 0 and weights[first - 1] and at_home(first - 1):
             first -= 1
-        while last + 1 < len(lines) and lines[last + 1].parent in parents and weights[last + 1]:
+        while last + 1 < len(lines) and weights[last + 1] and at_home(last + 1):
             last += 1
         chosen = range(first, last + 1)
     return " ".join(texts[i] for i in chosen if texts[i] and not lines[i].bad)
@@ -149,7 +161,7 @@ def _densest(weights: list[int], window: int, surge: int) -> tuple[int, int]:
         sums.append(total)
         total += (weights[i + window] if i + window < n else 0) - weights[i]
     level = min(surge, max(sums, default=0))
-    best, i = (0, 1, 0), 0
+    best, i = (0, -1, 0), 0  # no stretch: its end is before its start
     while i < n:
         if not level or sums[i] < level:
             i += 1

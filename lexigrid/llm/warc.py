@@ -229,7 +229,10 @@ def _next_member(data: bytes, at: int) -> int:
 
 def salvage(data: bytes) -> Iterator[Found]:
     """All valid records of a file, and the gaps between them."""
-    return _zipped(data) if data[:2] == _MAGIC[:2] or _MAGIC in data[: 1 << 16] and not _VERSION.match(data) else _plain(data)
+    if data.startswith(_MAGIC) or _VERSION.match(data):
+        return _zipped(data) if data.startswith(_MAGIC) else _plain(data)
+    line = _VERSION.search(data)
+    return _zipped(data) if _next_member(data, 0) < (line.start() if line else len(data)) else _plain(data)
 
 
 READ_SCHEMA = "path string, offset long, length long, gap string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
