@@ -16,7 +16,8 @@ another date in the same notation, an address another address.
 Edge cases: a null text stays null with no value found; empty and very long
 texts are taken whole; overlapping candidates are resolved from left to right; a
 date outside 1900-01-01 to 2099-08-04 is left alone; repeated rows are treated
-alike; an empty table gives an empty result; further columns are kept.
+alike; an empty table gives an empty result; further columns are kept (but one
+named n_pii, which ours replaces).
 """
 
 from __future__ import annotations
@@ -214,12 +215,13 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     secret = F.lit(key or docs.sparkSession.conf.get("spark.lexigrid.pii.key", KEY))
     text = F.col("text")
     candidates = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.withColumn("_found", F.coalesce(candidates, F.array().cast("array<string>")))
-    named = found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, secret))).otherwise(F.array().cast("array<string>")))
-    count = F.size(F.filter("_new", lambda x: x.isNotNull()))
-    filled = F.zip_with("_found", "_new", lambda old, new: F.coalesce(new, old))
-    parts = F.zip_with(F.split(text, ANY, -1), F.concat(filled, F.array(F.lit(""))), lambda between, value: F.concat(between, value))
-    out = named.withColumn("n_pii", count).withColumn("text", F.when(F.col("n_pii") > 0, F.array_join(parts, "")).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "n_pii")
+    # The rows are carried as one column, so that no name of theirs can clash with ours.
+    found = docs.select(F.struct("*").alias("row"), text.cast("string").alias("text")).withColumn("found", F.coalesce(candidates, F.array().cast("array<string>")))
+    named = found.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, secret))).otherwise(F.array().cast("array<string>")))
+    filled = F.zip_with("found", "new", lambda old, new: F.coalesce(new, old))
+    parts = F.zip_with(F.split("text", ANY, -1), F.concat(filled, F.array(F.lit(""))), lambda between, value: F.concat(between, value))
+    out = named.withColumn("n", F.size(F.filter("new", lambda x: x.isNotNull()))).withColumn("changed", F.when(F.col("n") > 0, F.array_join(parts, "")))
+    changed = {"text": F.col("changed"), "n_chars": F.length("changed").cast("long")}
+    old = lambda c: F.col("row").getField(c)
+    kept = [F.when(F.col("n") > 0, changed[c]).otherwise(old(c)).alias(c) if c in changed else old(c).alias(c) for c in docs.columns if c != "n_pii"]
+    return out.select(*kept, F.col("n").alias("n_pii"))
