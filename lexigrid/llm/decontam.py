@@ -28,21 +28,37 @@ from .runtime import maybe_broadcast, prepare
 WINDOW, GRAM, CONTAMINATED = 8, 5, 2
 BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: of texts in lower case, and of any.
+_BETWEEN, _BETWEEN_ANY = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def words(text: str) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+def _split(text: Column, separator: str) -> Column:
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), separator, -1)
 
 
-def _each(n: Column, made) -> Column:
-    """An array of made(i) for i from 1 to n; empty if there is none."""
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), made)).otherwise(F.array().cast("array<bigint>"))
+def _inner(parts: Column) -> Column:
+    """Parts without the empty ones that a separator at either end leaves."""
+    first, last = (F.element_at(parts, i) == "" for i in (1, -1))
+    return F.slice(parts, 1 + first.cast("int"), F.greatest(F.size(parts) - first.cast("int") - last.cast("int"), F.lit(0)))
+
+
+def with_words(frame: DataFrame) -> DataFrame:
+    """Adds words, the text's words in lower case; splitting is much cheaper than finding them."""
+    lowered = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
+    return frame.withColumn("parts", _split(lowered, _BETWEEN)).withColumn("words", _inner(F.col("parts"))).drop("parts")
+
+
+def _first(array: Column, n: Column) -> Column:
+    return F.slice(array, F.lit(1), F.greatest(n, F.lit(0)))
 
 
 def _gram_hash(k: int):
-    return lambda i: F.xxhash64(F.slice("words", i, k))
+    return lambda x, i: F.xxhash64(x, *(F.get("hashes", i + j) for j in range(1, k)))
+
+
+def _least_from(name: str, n: int):
+    return lambda x, i: F.least(x, *(F.get(name, i + j) for j in range(1, n)))
 
 
 def _start_if_in(prints: Column):
@@ -51,9 +67,10 @@ def _start_if_in(prints: Column):
 
 def _hashed(frame: DataFrame, grams: list[int]) -> DataFrame:
     """Adds h<k>, the hashes of all runs of k words."""
+    frame = frame.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     for k in grams:
-        frame = frame.withColumn(f"h{k}", _each(F.size("words") - (k - 1), _gram_hash(k)))
-    return frame
+        frame = frame.withColumn(f"h{k}", _first(F.transform("hashes", _gram_hash(k)), F.size("hashes") - (k - 1)))
+    return frame.drop("hashes")
 
 
 def _fingerprints(window: int, gram: int) -> Column:
@@ -61,7 +78,7 @@ def _fingerprints(window: int, gram: int) -> Column:
     if window <= gram:
         return F.col(f"h{window}")
     inside = window - gram + 1
-    return _each(F.size(f"h{gram}") - (inside - 1), lambda i: F.array_min(F.slice(f"h{gram}", i, inside)))
+    return _first(F.transform(f"h{gram}", _least_from(f"h{gram}", inside)), F.size(f"h{gram}") - (inside - 1))
 
 
 def _windows(frame: DataFrame, sizes: list[int], window: int, gram: int) -> DataFrame:
@@ -85,7 +102,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Every window (key, hash, at, size, set_id) of docs that items hold, and the items (set_id, items) of each set."""
     prepare(docs.sparkSession)
-    items = benchmark.filter("item_id is not null").select("item_id", words("text").alias("words")).filter(F.size("words") > 0)
+    items = with_words(benchmark.filter("item_id is not null").select("item_id", "text")).drop("text").filter(F.size("words") > 0)
     items = items.withColumn("n", F.least(F.size("words"), F.lit(window))).checkpoint()
     sizes = sorted({window, *(r["n"] for r in items.select("n").distinct().collect())})  # at most ``window`` numbers
     whole = None
@@ -101,7 +118,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> t
 
     text = F.col("text").cast("string")
     keyed = _keyed(docs.select("doc_id", text.alias("text")))
-    read = _windows(keyed.select("key", "hash", words("text").alias("words")), sizes, window, gram)
+    read = _windows(with_words(keyed.select("key", "hash", "text")).drop("text"), sizes, window, gram)
     few = maybe_broadcast(prints, BROADCAST_ROWS)
     met = None
     for n in sizes:
@@ -110,7 +127,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> t
     hits = met.groupBy("key", "hash").agg(*(F.collect_set(F.when(F.col("size") == n, F.col("fp"))).alias(f"s{n}") for n in sizes)).checkpoint()
 
     seen = keyed.select("key", "hash", "text").join(maybe_broadcast(hits, BROADCAST_ROWS), ["key", "hash"]).dropDuplicates(["key", "hash"])
-    seen = _windows(seen.select("key", "hash", words("text").alias("words"), *(f"s{n}" for n in sizes)), sizes, window, gram)
+    seen = _windows(with_words(seen.select("key", "hash", "text", *(f"s{n}" for n in sizes))).drop("text"), sizes, window, gram)
     found = None
     for n in sizes:
         starts = F.filter(F.transform(F.col(f"f{n}"), _start_if_in(F.col(f"s{n}"))), lambda i: i.isNotNull())
@@ -135,7 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         found.select("key", "hash", "set_id").distinct().join(sets, "set_id").groupBy("key", "hash")
         .agg(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("items"))), lambda i: i.cast("string"))).alias("items"))
     )
-    counted = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc_id", "key", "hash", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ANY_CASE), F.lit(0))).cast("long").alias("n_words"))
+    counted = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).withColumn("parts", _split(F.col("text"), _BETWEEN_ANY))
+    counted = counted.select("doc_id", "key", "hash", F.size(_inner(F.col("parts"))).cast("long").alias("n_words"))
     out = counted.join(n_hit.join(which, ["key", "hash"]), ["key", "hash"], "left")
     n_items = F.coalesce(F.size("items"), F.lit(0)).cast("long")
     return out.select(
@@ -154,12 +172,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     of = found.groupBy("key", "hash").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("hit"))
     items = found.select("key", "hash", "set_id").distinct().join(sets, "set_id").groupBy("key", "hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n_items"))
     marked = maybe_broadcast(of.join(items, ["key", "hash"]).checkpoint(), BROADCAST_ROWS // 4)
-    joined = _keyed(docs).join(marked, ["key", "hash"], "left").filter(F.col("n_items").isNull() | (F.col("n_items") < contaminated))
+    # The rows are carried as one column, so that no name of theirs can clash with ours.
+    carried = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))).drop("doc_id")
+    joined = carried.join(marked, ["key", "hash"], "left").filter(F.col("n_items").isNull() | (F.col("n_items") < contaminated))
     every, between = F.regexp_extract_all("text", F.lit(_ANY_CASE), F.lit(0)), F.split("text", _ANY_CASE, -1)
     kept = F.array_except(F.sequence(F.lit(1), F.size("every")), "hit")
     cut = F.concat(F.element_at("between", 1), F.array_join(F.transform(kept, lambda i: F.concat(F.element_at("every", i), F.element_at("between", i + 1))), ""))
     hit = F.col("hit").isNotNull()
-    out = joined.withColumns({"every": F.when(hit, every), "between": F.when(hit, between)}).withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = joined.withColumns({"every": F.when(hit, every), "between": F.when(hit, between)}).withColumn("new", F.when(hit, cut))
+    changed = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return out.select(*(F.when(hit, changed[c]).otherwise(F.col("row").getField(c)).alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns))
