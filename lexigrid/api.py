@@ -10,6 +10,10 @@ from lexigrid.operators import search as s
 from lexigrid.operators.quality import require_same_ids, require_unique
 
 
+# How results name their relation to the question.
+METHOD, UNCLUSTERED, SAME_LEAF = "lexical", "unclustered", "same_leaf_cluster; newest first, not similarity-ranked"
+
+
 class Corpus:
     """One snapshot; its tables are checked once and kept."""
 
@@ -24,7 +28,7 @@ class Corpus:
         rows = [r.asDict(True) for r in s.search(self.papers, query, venue, year, limit, strict=True).collect()]  # at most 50
         total = rows[0]["total_matches"] if rows else 0
         keep = [{k: v for k, v in r.items() if k not in ("score", "total_matches")} for r in rows]
-        return {"query": query, "search_method": "lexical", "total_matches": total, "papers": keep, "evidence_scope": s.EVIDENCE}
+        return {"query": query, "search_method": METHOD, "total_matches": total, "papers": keep, "evidence_scope": s.EVIDENCE}
 
     def get_paper(self, paper_id: str) -> dict[str, Any]:
         row = s.get_paper(self.papers, self.assignments, self.labels, paper_id).first()
@@ -37,7 +41,7 @@ class Corpus:
         cluster = self.get_paper(paper_id)["leaf_cluster"]
         out: dict[str, Any] = {"paper_id": paper_id, "evidence_scope": s.EVIDENCE}
         if cluster is None:
-            return out | {"relationship": "unclustered", "papers": []}
+            return out | {"relationship": UNCLUSTERED, "papers": []}
         rows = [r.asDict(True) for r in s.related(self.papers, self.assignments, paper_id, limit).collect()]  # at most 50
         keep = [{k: v for k, v in r.items() if k not in ("leaf", "total_cluster_peers")} for r in rows]
-        return out | {"relationship": "same_leaf_cluster; newest first, not similarity-ranked", "leaf_cluster": cluster, "total_cluster_peers": rows[0]["total_cluster_peers"] if rows else 0, "papers": keep}
+        return out | {"relationship": SAME_LEAF, "leaf_cluster": cluster, "total_cluster_peers": rows[0]["total_cluster_peers"] if rows else 0, "papers": keep}

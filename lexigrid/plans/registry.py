@@ -540,6 +540,38 @@ def fallback_labels(spark, d):
     return cl.common_title_terms(tm.labelled(spark, d))
 
 
+@query(PA + """, w AS (SELECT doc_id, leaf, mid, mega FROM assigned), c AS (SELECT cut, lab, count(*) AS n FROM (UNPIVOT (SELECT doc_id, mid, mega FROM w) ON mid, mega INTO NAME cut VALUE lab) GROUP BY ALL),
+s AS (SELECT cut, count(CASE WHEN lab >= 0 THEN 1 END) AS clusters, round(sum(CASE WHEN lab < 0 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS noise FROM c GROUP BY cut),
+f AS (SELECT 'mid' AS cut, leaf, mid AS lab, count(*) AS n FROM w WHERE leaf >= 0 GROUP BY ALL UNION ALL SELECT 'mega', leaf, mega, count(*) FROM w WHERE leaf >= 0 GROUP BY ALL),
+b AS (SELECT cut, leaf, max(n) AS best, sum(n) AS n FROM f GROUP BY ALL), g AS (SELECT cut, round(sum(best) / CAST(sum(n) AS DOUBLE), 6) AS nesting FROM b GROUP BY cut)
+SELECT cut, clusters, noise, nesting FROM s JOIN g USING (cut)""")
+def cluster_sweep(spark, d):
+    return cl.sweep(tm.assignments(spark, d), "leaf", ["mid", "mega"]).select("cut", "clusters", r6("noise", "noise"), r6("nesting", "nesting"))
+
+
+@query()
+def level_stability(spark, d):
+    return cl.seed_stability(tm.assignments(spark, d), ["leaf", "mid", "mega"])
+
+
+@query()
+def vocabulary_coherence(spark, d):
+    sets = tm.labelled(spark, d).select(F.col("doc_id").alias("id"), F.col("leaf").alias("cluster"), tx.title_terms(F.col("title")).alias("keywords"))
+    return ve.purity_lift(sets, least=5)
+
+
+@query()
+def unmatched_keys(spark, d):
+    docs = table(spark, d, "documents")
+    theirs = docs.select("lang").distinct().crossJoin(F.broadcast(_sentences(table(spark, d, "benchmark")).distinct()))  # the list of languages
+    return qu.unmatched_sample(_sentences(docs, "lang"), theirs, "lang", "key")
+
+
+@query()
+def blog_html(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.markdown(F.col("text")).alias("html"))
+
+
 # --- vectors ----------------------------------------------------------------------------------
 
 
