@@ -11,11 +11,16 @@ agree in a component with the probability of the weighted Jaccard similarity.
 Signatures are banded; candidates are verified by the exact multiset overlap of
 the whole texts. Texts with equal multisets are one class before banding, so a
 group of copies costs one member. Inside a bucket members are compared with its
-smallest member first; what ends in different classes there is then compared
-pair by pair, so no candidate link between different texts is lost, while a
-bucket whose members all met (one large group of near copies) emits no pairs.
-
-A link of similarity ``s`` becomes a candidate with probability
+smallest member first, and a bucket whose members all met by that (one large
+group of near copies) emits no pairs. In the other buckets, members that lie in
+different classes are compared pair by pair, the likely pairs first, so that
+classes have grown together before the rest is looked at; no candidate link
+between different classes is left out.
+
+A sketch of two bits of each component, compared inside the join, spares pairs
+whose similarity is far below the threshold: one that lies at it passes unless
+its estimate errs by SIGMAS standard deviations (3 in 100,000). A link of
+similarity ``s`` becomes a candidate with probability
 ``1 - (1 - s**rows)**bands``: 0.99997 at 0.8 for the defaults.
 
 Edge cases: a null, empty or wordless text has no shingle and is alone in its
@@ -31,13 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .runtime import maybe_broadcast, prepare
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 26, 5, 5, 0.8
+#: Signature components, and bits of each in a sketch of WORDS long integers. Pairs whose estimate is above
+#: the threshold less MARGIN are the likely ones.
+SIZE, BITS = 512, 2
+WORDS, SIGMAS, MARGIN = SIZE * BITS // 64, 4.0, 0.015
 #: Ids are broadcast up to this number (16 bytes each on the wire); above it Spark shuffles.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -100,8 +109,30 @@ def _band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _sketches(signature: np.ndarray) -> np.ndarray:
+    """BITS bits of every component, packed (texts x WORDS)."""
+    code = tk.mix64(np.ascontiguousarray(signature).view(np.uint32).astype(_U)) & _U((1 << BITS) - 1)
+    code = code.reshape(len(signature), WORDS, 64 // BITS) << (np.arange(64 // BITS, dtype=_U) * _U(BITS))
+    return np.bitwise_or.reduce(code, axis=2).view(np.int64)
+
+
+def most_different(similarity: float, sigmas: float) -> int:
+    """Components in which sketches of texts of this similarity differ at most."""
+    differ = (1 - similarity) * (1 - 2.0**-BITS)
+    return int(SIZE * differ + sigmas * (SIZE * differ * (1 - differ)) ** 0.5)
+
+
+def _near(left: str, right: str, more: int, most: int) -> Column:
+    """Whether two sketches differ in more than ``more`` components and at most in ``most``."""
+    total = F.lit(0)
+    for k in range(WORDS):
+        x = F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total.between(more + 1, most)
+
+
 def _signer(shingle: int, bands: int, rows: int):
-    kept = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    kept = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("buckets", pa.list_(pa.int64())), *((f"s{k}", pa.int64()) for k in range(WORDS))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +144,11 @@ def _signer(shingle: int, bands: int, rows: int):
                 a, b = np.zeros(size, _U), np.zeros(size, _U)
                 np.add.at(a, docs, tk.mix64(items * _U(0xD6E8FEB86659FD93) + weights.astype(_U)))
                 np.add.at(b, docs, tk.mix64(items ^ (weights.astype(_U) * _U(0xCA5A826395121157))))
-                got = _band_hashes(bag_minhash(items, weights, docs, size, bands * rows), bands, rows)
+                signature = bag_minhash(items, weights, docs, size, max(SIZE, bands * rows))
+                got, sketch = _band_hashes(signature[:, : bands * rows], bands, rows), _sketches(signature[:, :SIZE])
                 edges = pa.array(np.arange(size + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, size), batch.column(1).slice(i, size), pa.array(made.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(edges, pa.array(got.reshape(-1)))],
+                    [batch.column(0).slice(i, size), batch.column(1).slice(i, size), pa.array(made.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(edges, pa.array(got.reshape(-1))), *(pa.array(sketch[:, k]) for k in range(WORDS))],
                     schema=kept,
                 )
 
@@ -147,19 +179,19 @@ def _overlap(shingle: int):
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n (shingles), key_a and key_b (128 bits that name the multiset) and the band hashes."""
+    """doc_id, text_hash, n (shingles), key_a and key_b (128 bits that name the multiset), the band hashes and the sketch."""
     cut = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(_signer(shingle, bands, rows), "doc_id long, text_hash long, n long, key_a long, key_b long, buckets array<long>")
+    return cut.mapInArrow(_signer(shingle, bands, rows), "doc_id long, text_hash long, n long, key_a long, key_b long, buckets array<long>, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those whose texts' overlap reaches the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, repeated: bool) -> DataFrame:
+    """Of the pairs (a, b), those whose texts' overlap reaches the threshold; repeated: doc_ids may recur in docs."""
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct().checkpoint()
     texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(maybe_broadcast(ids, BROADCAST_IDS), "doc_id", "left_semi")
-    )
-    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if _repeated(texts) else texts
+    )
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if repeated else texts
     left = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -171,65 +203,96 @@ def _repeated(texts: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of the nodes of edges (a, b), by alternating large and small stars.
+    """node and component (its smallest node) of the nodes of edges (a, b), by alternating large and small stars.
 
-    Every round is a grouped minimum and a join, and is cut by a checkpoint.
+    Every round is a grouped minimum and a join, and is cut by a checkpoint. A node
+    that is the smallest of its component has no row.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    seen = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array_distinct(F.array("u", "v"))).alias("u"), F.col("m").alias("v"))
         edges = small.filter("u <> v").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == seen:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node u points to one v only, which points to none."""
+    roles = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("points")), F.struct(F.col("v").alias("node"), F.lit(0).alias("points")))).alias("r")).select("r.*")
+    nodes = roles.groupBy("node").agg(F.sum("points").alias("out"), F.count("*").alias("n"))
+    return not nodes.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("n") > F.col("out"))))).first()[0]
+
+
+def _merged(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after further links, worked out between the components so far."""
+    if joined is None:
+        return components(links)
+    for x in ("a", "b"):
+        links = links.join(joined.select(F.col("node").alias(x), "component"), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
+    new = components(links)
+    moved = joined.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(new.join(joined.select("node"), "node", "left_anti")).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (the class's smallest doc_id), is_kept (it is that one), n_shingles."""
     prepare(docs.sparkSession)
+    sketch = [f"s{k}" for k in range(WORDS)]
     signed = signatures(docs, shingle, bands, rows).checkpoint()
-    if _repeated(signed.select("doc_id")):
-        signed = signed.groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "n", "key_a", "key_b", "buckets"), "text_hash").alias("x")).select("doc_id", "x.*").checkpoint()
+    if repeated := _repeated(signed.select("doc_id")):
+        signed = signed.groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "n", "key_a", "key_b", "buckets", *sketch), "text_hash").alias("x")).select("doc_id", "x.*").checkpoint()
     keyed = signed.select("doc_id", "n", "key_a", "key_b")
     copies = keyed.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
-    spread = signed.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("buckets").alias("bucket"))
+    reps = signed.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    spread = reps.select("rep", "n", F.posexplode("buckets").alias("band", "bucket"))
     centers = spread.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
     shared = spread.join(centers.select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "bucket").checkpoint()
+    least = most_different(threshold, SIGMAS)
 
-    def near_in_size(m: str, n: str):
+    def near_in_size(m: str, n: str) -> Column:
         return F.least(m, n) >= threshold * F.greatest(m, n)
 
-    stars = shared.filter("rep <> center").filter(near_in_size("n", "center_n")).select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct().checkpoint()
-    links = verified(stars, docs, shingle, threshold).checkpoint()
-    joined = components(links)
-    # Members of a bucket that did not meet through its center are compared with all that lie in another class.
-    named = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", "rep").alias("main")).filter("least <> most").select("bucket", "main")
-    inside = named.join(mixed, "bucket").select("bucket", "rep", "n", "component", "center", (F.col("component") == F.col("main")).alias("is_main")).checkpoint()
-    other = inside.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("comp_b"), F.col("is_main").alias("main_b"))
-    rest = (
-        inside.filter("not is_main and rep <> center").join(other.filter("b is not null"), "bucket")
-        .filter("component <> comp_b and b <> center and (main_b or rep > b)").filter(near_in_size("n", "n_b"))
-        .select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct().checkpoint()
-    )
-    more = verified(rest, docs, shingle, threshold).checkpoint()
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    stars = shared.filter("rep <> center").filter(near_in_size("n", "center_n")).select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+    one, two = (reps.select(F.col("rep").alias(x), F.struct(*sketch).alias(f"{x}s")) for x in ("a", "b"))
+    stars = stars.join(one, "a").join(two, "b").filter(_near("as", "bs", -1, least)).select("a", "b").checkpoint()
+    links = verified(stars, docs, shingle, threshold, repeated).checkpoint()
+    joined = _merged(None, links)
+    # Members of a bucket that did not meet are compared with all that lie in another class, the likely pairs first.
+    likely = most_different(threshold - MARGIN, 0)
+    for more, most in ((-1, likely), (likely, least)):
+        new = verified(_across(shared, joined, reps, sketch, more, most, near_in_size), docs, shingle, threshold, repeated).checkpoint()
+        joined = joined if new.isEmpty() else _merged(joined, new)
     classes = copies.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("class_id"))
     out = keyed.join(classes, ["key_a", "key_b", "n"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
     nameless = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_shingles"))
     return out.unionByName(nameless).withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
 
 
+def _across(shared: DataFrame, joined: DataFrame, reps: DataFrame, sketch: list[str], more: int, most: int, near_in_size) -> DataFrame:
+    """Pairs of members of one bucket that lie in different classes and whose sketches differ in more than ``more`` and at most ``most`` components.
+
+    Only buckets of several classes take part, and in them the members outside the
+    class of the smallest member are the one side; pairs with the bucket's center
+    have been compared before.
+    """
+    named = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "rep").alias("main")).filter("low <> high").select("bucket", "main")
+    inside = named.join(mixed, "bucket").select("bucket", "band", "rep", "n", "component", "center", (F.col("component") == F.col("main")).alias("is_main"))
+    inside = inside.join(reps.select("rep", F.struct(*sketch).alias("s"), "buckets"), "rep").checkpoint()
+    minor = inside.filter("not is_main and rep <> center").select("bucket", "band", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("comp_x"), F.col("center").alias("center_x"), F.col("s").alias("sx"), F.col("buckets").alias("buckets_x"))
+    other = inside.select("bucket", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("comp_y"), F.col("is_main").alias("main_y"), F.col("s").alias("sy"), F.col("buckets").alias("buckets_y"))
+    # A pair comes from the first bucket that it shares; there it may be seen from both sides.
+    before = F.arrays_overlap(F.slice("buckets_x", F.lit(1), F.col("band")), F.slice("buckets_y", F.lit(1), F.col("band")))
+    meet = minor.join(other, "bucket").filter("comp_x <> comp_y and y <> center_x and (main_y or x > y)").filter(near_in_size("n_x", "n_y")).filter(_near("sx", "sy", more, most)).filter(~before)
+    return meet.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).checkpoint()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that represent their near-duplicate class, with their columns as they are."""
     keep = near_duplicates(docs).filter("is_kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(keep, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    rows = docs.join(keep, docs["doc_id"].cast("long") == keep["kept_id"], "left_semi")
     return rows.dropDuplicates(["doc_id"]) if _repeated(docs.select("doc_id").filter("doc_id is not null")) else rows
