@@ -11,7 +11,7 @@ What is gathered from the corpus covers all documents: the counts of all words
 (aggregated by word before and after the shuffle) give classes and shares, and
 the network, started on a bounded sample by the driver, is then trained by every
 task on every STRIDE-th token of all its documents; the tasks' weights are
-averaged by their number of tokens. Words beyond the VOCABULARY commonest share
+averaged by their number of tokens. Words beyond the commonest (at most VOCABULARY) share
 their class's remaining tokens by the number of such words, from the full counts.
 
 Edge cases: a null, empty or wordless text has no token, log-likelihood 0 and a
@@ -133,13 +133,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon(docs: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY) -> Lexicon | None:
     """Counted over all documents; at most ``vocabulary`` words and the buckets' totals reach the driver."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).checkpoint()
-    known = counts.orderBy(F.desc("c"), "word").limit(vocabulary).toPandas()
-    if known.empty:
+    # The least count that leaves at most ``vocabulary`` words comes from a histogram of counts; each task then sends its share.
+    level = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(((r["level"], r["k"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)  # some hundred rows
+    least, total = None, 0
+    for at, k in sizes:
+        if total + k > vocabulary and least is not None:
+            break
+        least, total = at, total + k
+    if least is None:
         return None
+    chosen = counts.filter(level >= least)
+    known = (chosen if total <= vocabulary else chosen.orderBy(F.desc("c"), "word").limit(vocabulary)).toPandas()
     words, c = known["word"].to_numpy().view(_U), known["c"].to_numpy()
     bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(BUCKETS)).cast("int")
-    least, last = int(c[-1]), int(known["word"].iloc[-1])
-    rest = counts.filter((F.col("c") < least) | ((F.col("c") == least) & (F.col("word") > last)))
+    rest = counts.filter(level < least)
+    if total > vocabulary:  # one level of equal counts alone is larger than the vocabulary
+        low, last = int(c[-1]), int(known["word"].iloc[-1])
+        rest = counts.filter((F.col("c") < low) | ((F.col("c") == low) & (F.col("word") > last)))
     tokens, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rest.groupBy(bucket.alias("b")).agg(F.sum("c").alias("t"), F.count("*").alias("k")).collect():
         tokens[r["b"]], kinds[r["b"]] = r["t"], r["k"]
