@@ -292,7 +292,12 @@ def _across(shared: DataFrame, joined: DataFrame, reps: DataFrame, sketch: list[
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that represent their near-duplicate class, with their columns as they are."""
-    keep = near_duplicates(docs).filter("is_kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(keep, docs["doc_id"].cast("long") == keep["kept_id"], "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if _repeated(docs.select("doc_id").filter("doc_id is not null")) else rows
+    """docs less the rows that another document of their near-duplicate class represents, with their columns as they are.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    """
+    gone = near_duplicates(docs).filter("not is_kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    if not _repeated(docs.select("doc_id").filter("doc_id is not null")):
+        return rows
+    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
