@@ -41,13 +41,17 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are kept on the stack of containers.
 _CONTAINER = frozenset("html body div section article main nav aside header footer form fieldset ul ol dl table figure details dialog menu search select button blockquote svg math object canvas audio video head address center".split())
 _NEVER = frozenset("nav aside footer form fieldset menu search select button dialog svg math object canvas audio video head".split())
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that mark what is not the article: of any element, and of frames that may also hold it.
 _BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side aside rail nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar "
-    "header masthead topbar footer foot copyright colophon comment comments commentlist respond reply replies disqus discussion notice notices alert cookie cookies consent gdpr popup modal overlay dialog subscribe subscription "
-    "newsletter signup login signin search share sharing social related recommended recommendations widget widgets skip complementary contentinfo hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion aside nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar footer copyright colophon "
+    "comment comments commentlist respond reply replies disqus discussion notice notices alert cookie cookies consent gdpr popup modal overlay dialog subscribe subscription newsletter signup login signin share sharing "
+    "related recommended recommendations widget widgets skip complementary contentinfo".split()
 )
+_FRAME_WORDS = frozenset("sidebar side rail header masthead banner foot search social hidden nav navbar menu".split())
 _GOOD_WORDS = frozenset("article articlebody main content post entry story".split())
+#: Classes that tell what an element has beside it, not what it is.
+_ABOUT = re.compile(r"(?:has|with|without|no|is|js|layout)[-_]")
+_FREE, _FRAME, _BAD = 0, 1, 2
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -68,17 +72,30 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 hidden = True
             else:
-                words.update(x for y in value.split() for x in (y.lower(), *_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", y).lower())))
+                words.update(x for y in value.split() if not _ABOUT.match(y) for x in (y.lower(), *_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", y).lower())))
     return words, hidden
 
 
+def _standing(name: str, words: set[str], hidden: bool, inside: bool) -> int:
+    """Whether an element's content can be the article: no (_BAD), only in an article element of its own (_FRAME), or yes."""
+    if hidden or name in _NEVER or name == "header" and not inside:
+        return _BAD
+    if name in ("html", "body"):
+        return _FREE
+    if bad := words & (_BAD_WORDS | _FRAME_WORDS):
+        if not bad - _FRAME_WORDS:
+            return _FREE if words & _GOOD_WORDS and not bad & {"sidebar", "nav", "navbar", "menu"} else _FRAME
+        return _BAD
+    return _FREE
+
+
 def lines_of(page: str) -> list[_Line]:
     """The lines of a page that hold text, each with its container."""
-    stack = [("", 0, -1, False)]  # element, its number, the article or main around it, whether it cannot hold the article
-    lines, line, links, made, at, n = [], None, 0, 0, 0, len(page)
+    stack = [("", 0, -1, _FREE)]  # element, its number, the article or main around it, its standing
+    lines, line, links, made, at, n, own = [], None, 0, 0, 0, len(page), _FREE
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
-            line, at = _text(page[at : m.start()], line, stack, links, lines), m.start()
+            line, at = _text(page[at : m.start()], line, stack, links, lines, own), m.start()
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
@@ -91,30 +108,35 @@ def lines_of(page: str) -> list[_Line]:
             links = 0 if closing else 1
         if name in _INLINE:
             continue
-        line = None
-        if name in _CONTAINER and name not in _VOID:
-            if not closing and not m[3].endswith("/"):
-                made += 1
-                words, hidden = _marks(m[3])
-                _, _, good, bad = stack[-1]
-                is_good = name in ("article", "main") or "articlebody" in words or name in ("div", "section") and "main" in words
-                inside = good >= 0
-                never = hidden or name in _NEVER or name == "header" and not inside or bool(words & _BAD_WORDS) and not (is_good or name in ("html", "body") or words & _GOOD_WORDS and not words & {"comment", "comments"})
-                stack.append((name, made, made if is_good and not inside else good, bad or never))
-            elif closing:
+        line, own = None, _FREE
+        if closing:
+            if name in _CONTAINER:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         del stack[k:]
                         break
                 links = 0
+            continue
+        words, hidden = _marks(m[3])
+        _, _, good, standing = stack[-1]
+        mine = _standing(name, words, hidden, good >= 0)
+        if name not in _CONTAINER:
+            own = mine  # holds for this line, as such elements are often left open
+        elif not m[3].endswith("/"):
+            made += 1
+            is_good = mine == _FREE and (name in ("article", "main") or "articlebody" in words or name in ("div", "section") and "main" in words)
+            if is_good and standing == _FRAME:
+                standing = _FREE
+            stack.append((name, made, made if is_good and good < 0 else good, max(standing, mine)))
     if at < n:
-        _text(page[at:], line, stack, links, lines)
+        _text(page[at:], line, stack, links, lines, own)
     return [x for x in lines if any(p.strip() for p in x.parts)]
 
 
-def _text(text: str, line: _Line | None, stack: list, links: int, lines: list[_Line]) -> _Line:
+def _text(text: str, line: _Line | None, stack: list, links: int, lines: list[_Line], own: int) -> _Line:
     if line is None:
         line = _Line(stack)
+        line.bad = line.bad != _FREE or own != _FREE
         lines.append(line)
     line.parts.append(text)
     if links:

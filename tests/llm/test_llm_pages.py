@@ -37,6 +37,16 @@ def test_pages_without_an_article_element():
     assert got.startswith(f"Head {PARAGRAPH}0") and got.endswith("Fin.") and "About" not in got and "Imprint" not in got
 
 
+def test_marks_of_what_is_not_the_article():
+    inside = f"<h1>Head</h1><p>{PARAGRAPH}</p>"
+    want = " ".join(f"Head {PARAGRAPH}".split())
+    for extra in ('<p class="advert">Buy</p>', '<div class="sidebar-content">s</div>', '<div id="footer-content">f</div>', '<ul class="main-nav"><li>n</li></ul>', '<div class="comment-content">c</div>', '<p hidden>h</p>', '<div role="complementary">x</div>', '<div class="socialShare">y</div>', '<select><option>o</option></select>', "<footer>t</footer>"):
+        assert htmltext.main_text(f"<body><article>{inside}{extra}</article></body>") == want, extra
+    for frame in ('<div class="has-sidebar">%s</div>', '<div class="layout-sidebar wrapper">%s</div>', '<div class="page-header-fixed">%s</div>', '<div class="entry-header">%s</div>'):
+        assert htmltext.main_text("<body>" + frame % f"<article>{inside}</article>" + "</body>") == want, frame
+    assert htmltext.main_text(f'<article><header><h1>Head</h1></header><p>{PARAGRAPH}</p></article><div id="comments"><article><p>{PARAGRAPH * 3}</p></article></div>') == want
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p></p><br>", ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b", "a b"), ("<b>one</b>two", "onetwo"), ("a < b and <3", "a < b and <3"), ("<script>x", ""), ("<!-- open", ""), ("<article>x</article>", "x"), ("</div></div>x", "x"), ("<nav>only menu</nav>", "")])
 def test_odd_pages(page, text):
     assert htmltext.main_text(page) == text
