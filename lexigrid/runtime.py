@@ -1,21 +1,58 @@
-"""What operators need from a session."""
+"""What operators need from a session, and what Python workers give back."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+#: Bytes of an Arrow batch between the JVM and Python, of which each task holds a few.
+BATCH_BYTES = 16 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names, or one of our own without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    own = spark.sparkContext.getCheckpointDir()
+    return named or (own.rsplit("/", 1)[0] if own else "file://" + tempfile.mkdtemp(prefix="lexigrid-"))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and give checkpoints a folder if the session names none."""
+    """Let Python workers import this package, bound Arrow batches, and give checkpoints a folder if there is none."""
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = ":".join([*paths, ROOT])
+    if spark.conf.get(_BATCH_KEY, None) in (None, "64MB", "67108864b"):  # Spark's own choice
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexigrid-"))
+        sc.setCheckpointDir(shared_dir(spark))
     return spark
+
+
+def tidy(run: Callable[[Batches], Batches], forget: Callable[[], None] | None = None) -> Callable[[Batches], Batches]:
+    """run, after which its worker returns what it no longer needs; workers live on and serve other operators."""
+
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # not glibc
+
+    return tidied
