@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 #: Standard deviations of the estimate that the error bound spans.
 SIGMAS = 4.0
@@ -86,7 +86,7 @@ def build_index(vectors: DataFrame, seed: int = 7) -> tuple[DataFrame, np.ndarra
                 codes, length, lost = encode(x, center, rotate)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(lost)], names=["id", "vec", "code", "length", "lost"])
 
-    return rows.mapInArrow(run, "id long, vec array<double>, code binary, length double, lost double").checkpoint(), center, rotate
+    return rows.mapInArrow(tidy(run), "id long, vec array<double>, code binary, length double, lost double").checkpoint(), center, rotate
 
 
 def _searcher(queries, k: int, center: np.ndarray, rotate: np.ndarray, sigmas: float):
@@ -149,7 +149,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sigmas: float = SIG
             if not rows:
                 continue
             block = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["vec"] for r in rows], float)))
-            got = index.mapInArrow(_searcher(block, k, center, rotate, sigmas), "query_id long, vec_id long, score double")
+            got = index.mapInArrow(tidy(_searcher(block, k, center, rotate, sigmas)), "query_id long, vec_id long, score double")
             found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 WINDOW, SURGE = 5, 60
 
@@ -213,4 +213,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return cut.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return cut.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 PER_LANGUAGE, BUCKETS, GRAMS, LONGEST = 2_048, 64, 60_000, 5
 #: Unknown words whose result a worker remembers before it starts anew.
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS) -
     dealt = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKETS)).alias("bucket"))
     chosen = dealt.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(1, per_language // BUCKETS)).select("doc_id").distinct()
     seen = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = seen.mapInArrow(_counter, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counts = seen.mapInArrow(tidy(_counter), "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     by_gram = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).checkpoint()
     priors = {r["lang"]: r["c"] for r in seen.groupBy("lang").agg(F.count("*").alias("c")).collect()}
     languages = sorted(priors)
@@ -159,4 +159,4 @@ def predict(docs: DataFrame, model: BackoffModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     cut = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return cut.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 COMMON, BUCKETS, WIDTH, SPAN = 96, 32, 16, 2
 #: Words that the model knows by themselves, and documents that start the network.
@@ -132,7 +132,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicon(docs: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY) -> Lexicon | None:
     """Counted over all documents; at most ``vocabulary`` words and the buckets' totals reach the driver."""
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).checkpoint()
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_count_words), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).checkpoint()
     # The least count that leaves at most ``vocabulary`` words comes from a histogram of counts; each task then sends its share.
     level = F.floor(F.log2("c") * 16).cast("int")
     sizes = sorted(((r["level"], r["k"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)  # some hundred rows
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY, sam
             take = order.permutation(len(classes))
             net.train(around[take], classes[take])
     shared = spark.sparkContext.broadcast((words, net))
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_trainer(shared, stride), "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w"))
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_trainer(shared, stride)), "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w"))
     flat = sums.orderBy("at").toPandas()["w"].to_numpy()  # one number per weight
     at = 0
     for w in net.weights():
@@ -233,4 +233,4 @@ def score(docs: DataFrame, model: tuple[Lexicon, WindowNetwork] | None) -> DataF
     if model is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_likelihood"), F.lit(None).cast("double").alias("mean_log_likelihood"))
     shared = spark.sparkContext.broadcast(model)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scorer(shared), f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(_scorer(shared)), f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")

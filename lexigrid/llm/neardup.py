@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import maybe_broadcast, prepare
+from .runtime import maybe_broadcast, prepare, tidy
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 26, 5, 5, 0.8
 #: Signature components, and bits of each in a sketch of WORDS long integers. Pairs whose estimate is above
@@ -181,7 +181,7 @@ def _overlap(shingle: int):
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_hash, n (shingles), key_a and key_b (128 bits that name the multiset), the band hashes and the sketch."""
     cut = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(_signer(shingle, bands, rows), "doc_id long, text_hash long, n long, key_a long, key_b long, buckets array<long>, " + ", ".join(f"s{k} long" for k in range(WORDS)))
+    return cut.mapInArrow(tidy(_signer(shingle, bands, rows)), "doc_id long, text_hash long, n long, key_a long, key_b long, buckets array<long>, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, repeated: bool) -> DataFrame:
@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float,
     left = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_overlap(shingle), "a long, b long, sim double").filter(F.col("sim") >= threshold).select("a", "b")
+    return both.mapInArrow(tidy(_overlap(shingle)), "a long, b long, sim double").filter(F.col("sim") >= threshold).select("a", "b")
 
 
 def _repeated(texts: DataFrame) -> bool:

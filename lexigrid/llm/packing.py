@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 WINDOW, END_ID, BLOCK_TOKENS = 4096, 2, 4_000_000
 #: Attention against matrix products for a model width of 4096: L / (6 d).
@@ -281,4 +281,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     """One row per piece; ``path`` names the vocabulary file (default: the public one of this environment)."""
     prepare(docs.sparkSession)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(_packer(path, window, quadratic, block_tokens), SCHEMA)
+    return cut.mapInArrow(tidy(_packer(path, window, quadratic, block_tokens), lambda: piece_ids(path)._forget()), SCHEMA)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import prepare
+from .runtime import prepare, tidy
 
 SAMPLE = 20_000
 SHRINK, POOL, FLOOR = 0.1, 0.1, 1e-4
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminan
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
     seen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "id").select("y", "text")
-    rows = seen.mapInArrow(_vectors, "y int, x array<double>").toPandas()  # at most sample rows of numbers, fewer repeats
+    rows = seen.mapInArrow(tidy(_vectors), "y int, x array<double>").toPandas()  # at most sample rows of numbers, fewer repeats
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return Discriminant(x, rows["y"].to_numpy())
 
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     prepare(docs.sparkSession)
     cut = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    got = cut.mapInArrow(_scorer(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    got = cut.mapInArrow(tidy(_scorer(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -172,4 +172,4 @@ def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(*tk.text_buffers(batch.column(at)))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

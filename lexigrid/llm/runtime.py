@@ -1,38 +1,13 @@
-"""What the operators of this package need from a session."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and give checkpoints a folder.
-
-    The folder is the one that the session names in ``spark.checkpoint.dir``; one
-    of our own is made only where the session names none, as in tests.
-    """
-    sc = spark.sparkContext
-    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(":") if p]
-    if ROOT not in paths:
-        sc.environment["PYTHONPATH"] = ":".join([*paths, ROOT])
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return spark
-
+from lexigrid.runtime import prepare, shared_dir, tidy
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    own = spark.sparkContext.getCheckpointDir()
-    return own.rsplit("/", 1)[0] if own else "file://" + tempfile.mkdtemp(prefix="lexigrid-")
+__all__ = ["maybe_broadcast", "prepare", "shared_dir", "small_enough", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

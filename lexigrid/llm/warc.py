@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import maybe_broadcast, prepare
+from .runtime import maybe_broadcast, prepare, tidy
 
 BROADCAST_ROWS = 500_000
 RECORDS_PER_FILE = 4_000
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, records_
                 part = batch.slice(i, 64).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([members(_record(r["page_id"], r["url"], r["html"].encode(), r["first"], r["first"] is not None))[:-1] for r in part], pa.binary())], names=["record"])
 
-    made = marked.mapInArrow(run, "record binary")
+    made = marked.mapInArrow(tidy(run), "record binary")
     made.select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).mode("overwrite").text(folder)
 
 
@@ -256,7 +256,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(run, READ_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(tidy(run), READ_SCHEMA)
 
 
 def _fields(x: Found, payloads: bool) -> dict:
