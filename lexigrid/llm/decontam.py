@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .runtime import maybe_broadcast, prepare
 
 WINDOW, GRAM, CONTAMINATED = 8, 5, 2
-BROADCAST_ROWS = 200_000
+#: Rows of fingerprints or windows, and values of hits, that are broadcast at most.
+BROADCAST_ROWS, BROADCAST_VALUES = 200_000, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words: of texts in lower case, and of any.
 _BETWEEN, _BETWEEN_ANY = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -94,6 +95,13 @@ def _text_of(start: Column, size: int) -> Column:
     return F.array_join(F.slice("words", start, size), " ")
 
 
+def _broadcast_if_light(df: DataFrame, arrays: list[str]) -> DataFrame:
+    """Hint a broadcast only once rows and their arrays' elements together are known to be few."""
+    values = sum((F.coalesce(F.size(a), F.lit(0)) for a in arrays), F.lit(1))
+    total = df.agg(F.coalesce(F.sum(values), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_VALUES else df
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with key and hash, which tell rows apart also where doc_id repeats or is null."""
     return docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "hash": F.xxhash64(F.col("text").cast("string"))})
@@ -126,7 +134,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> t
         met = part if met is None else met.unionByName(part)
     hits = met.groupBy("key", "hash").agg(*(F.collect_set(F.when(F.col("size") == n, F.col("fp"))).alias(f"s{n}") for n in sizes)).checkpoint()
 
-    seen = keyed.select("key", "hash", "text").join(maybe_broadcast(hits, BROADCAST_ROWS), ["key", "hash"]).dropDuplicates(["key", "hash"])
+    seen = keyed.select("key", "hash", "text").join(_broadcast_if_light(hits, [f"s{n}" for n in sizes]), ["key", "hash"]).dropDuplicates(["key", "hash"])
     seen = _windows(with_words(seen.select("key", "hash", "text", *(f"s{n}" for n in sizes))).drop("text"), sizes, window, gram)
     found = None
     for n in sizes:
@@ -171,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     found, sets = _matches(docs, benchmark, window, gram)
     of = found.groupBy("key", "hash").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("hit"))
     items = found.select("key", "hash", "set_id").distinct().join(sets, "set_id").groupBy("key", "hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n_items"))
-    marked = maybe_broadcast(of.join(items, ["key", "hash"]).checkpoint(), BROADCAST_ROWS // 4)
+    marked = _broadcast_if_light(of.join(items, ["key", "hash"]).checkpoint(), ["hit"])
     # The rows are carried as one column, so that no name of theirs can clash with ours.
     carried = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))).drop("doc_id")
     joined = carried.join(marked, ["key", "hash"], "left").filter(F.col("n_items").isNull() | (F.col("n_items") < contaminated))

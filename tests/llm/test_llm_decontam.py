@@ -58,6 +58,7 @@ def test_shuffled_path_gives_the_same(spark, monkeypatch):
     items = [(1, "a b c d e f g h i"), (2, "x " * 9)]
     want = rows(dc.contamination(frame(spark, docs), bench(spark, items)))
     monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BROADCAST_VALUES", 0)
     assert rows(dc.contamination(frame(spark, docs), bench(spark, items))) == want == brute(docs, items)
 
 
