@@ -156,6 +156,17 @@ def test_scores_follow_context(spark):
     assert mean(texts) > mean(mixed) + 0.5
 
 
+def test_every_token_trains_by_default(spark):
+    """Documents of 16 words teach all their words, also where none of them starts the network."""
+    r = random.Random(4)
+    texts = {i: " ".join(f"c{(a + k) % 30}" for k in range(16)) for i in range(8000) for a in [r.randrange(30)]}
+    mixed = {i: " ".join(r.sample(t.split(), 16)) for i, t in texts.items()}
+    for options in ({}, {"sample": 0}):
+        model = lmscore.fit(frame(spark, texts), **options)
+        mean = lambda d: np.mean([x.mean_log_likelihood for x in lmscore.score(frame(spark, d), model).collect()])  # noqa: E731,B023
+        assert mean(texts) > mean(mixed) + 0.5, options
+
+
 def test_score_equals_the_sum_over_tokens(spark):
     texts = {1: "a b c d a b", 2: "a", 3: None, 4: "..", 5: "zz yy"}
     words, net = lmscore.fit(frame(spark, texts))
