@@ -11,8 +11,10 @@ What is gathered from the corpus covers all documents: the counts of all words
 (aggregated by word before and after the shuffle) give classes and shares, and
 the network, started on a bounded sample by the driver, is then trained by every
 task on every token of all its documents; the tasks' weights are
-averaged by their number of tokens. Words beyond the commonest (at most VOCABULARY) share
-their class's remaining tokens by the number of such words, from the full counts.
+averaged by their number of tokens. Every counted word has a share of its own: the
+tasks hold those of the commonest (at most VOCABULARY), and the tokens of all others
+are joined with the full counts. A word that the corpus does not have is given the
+average share of its class's words beyond the commonest.
 
 Edge cases: a null, empty or wordless text has no token, log-likelihood 0 and a
 null mean; neighbours beyond either end are a mark of their own; equal counts go
@@ -27,16 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .runtime import prepare, tidy
 
 COMMON, BUCKETS, WIDTH, SPAN = 96, 32, 16, 2
-#: Words that the model knows by themselves, documents that start the network, and 1 for all tokens to train it.
+#: Words whose shares are broadcast (the others' are joined), documents that start the network, and 1 for all tokens to train it.
 VOCABULARY, SAMPLE, STRIDE = 60_000, 400, 1
-_U = np.uint64
+_U, _UNIT = np.uint64, 1 << 32
 
 
 class WindowNetwork:
@@ -95,7 +97,9 @@ def neighbours(classes: np.ndarray, counts: np.ndarray, span: int, edge: int) ->
 
 
 class Lexicon:
-    """Class and log share of known words (hashes in order) and of the rest."""
+    """Class and log share of known words (hashes in order), and of the rest on average; rare: word and c of each of the rest, if any."""
+
+    rare: DataFrame | None = None
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest_tokens: np.ndarray, rest_words: np.ndarray, common: int):
         rank = np.lexsort((hashes, -counts))
@@ -110,6 +114,18 @@ class Lexicon:
         self.shares = np.log(counts[order] / mass[self.classes]).astype(np.float32)
         each = np.maximum(rest_tokens, 1) / np.maximum(rest_words, 1)
         self.rest = np.log(np.minimum(1.0, each / np.maximum(mass[n:], 1))).astype(np.float32)
+        self.rest_mass = np.log(np.maximum(mass[n:], 1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rare"}  # tables stay on the driver
+
+    def gains(self) -> DataFrame:
+        """What a rare word's own log share is above its bucket's average, in units of 1 / _UNIT, so that sums are the same in any order."""
+        offset = F.element_at(F.array(*(F.lit(float(x)) for x in -self.rest_mass - self.rest)), _bucket() + 1)
+        return self.rare.select("word", F.round((F.log("c") + offset) * _UNIT).cast("long").alias("gain"))
+
+    def knows(self, words: np.ndarray) -> np.ndarray:
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, words), max(len(self.hashes) - 1, 0))] == words
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.hashes, words), max(len(self.hashes) - 1, 0))
@@ -122,6 +138,11 @@ def bucket_of(words: np.ndarray, common: int) -> np.ndarray:
     return common + (words >> _U(40)).astype(np.int64) % BUCKETS
 
 
+def _bucket() -> Column:
+    """The bucket of column word, from 0."""
+    return F.pmod(F.shiftrightunsigned("word", 40), F.lit(BUCKETS)).cast("int")
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values, offsets = tk.text_buffers(batch.column(0))
@@ -132,7 +153,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(docs: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY) -> Lexicon | None:
-    """Counted over all documents; at most ``vocabulary`` words and the buckets' totals reach the driver."""
+    """Counted over all documents; at most ``vocabulary`` words and the buckets' totals reach the driver, the rest stays a table."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_count_words), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).checkpoint()
     # The least count that leaves at most ``vocabulary`` words comes from a histogram of counts; each task then sends its share.
     level = F.floor(F.log2("c") * 16).cast("int")
@@ -147,15 +168,17 @@ def lexicon(docs: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY)
     chosen = counts.filter(level >= least)
     known = (chosen if total <= vocabulary else chosen.orderBy(F.desc("c"), "word").limit(vocabulary)).toPandas()
     words, c = known["word"].to_numpy().view(_U), known["c"].to_numpy()
-    bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(BUCKETS)).cast("int")
     rest = counts.filter(level < least)
     if total > vocabulary:  # one level of equal counts alone is larger than the vocabulary
         low, last = int(c[-1]), int(known["word"].iloc[-1])
         rest = counts.filter((F.col("c") < low) | ((F.col("c") == low) & (F.col("word") > last)))
     tokens, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rest.groupBy(bucket.alias("b")).agg(F.sum("c").alias("t"), F.count("*").alias("k")).collect():
+    for r in rest.groupBy(_bucket().alias("b")).agg(F.sum("c").alias("t"), F.count("*").alias("k")).collect():
         tokens[r["b"]], kinds[r["b"]] = r["t"], r["k"]
-    return Lexicon(words, c, tokens, kinds, common)
+    made = Lexicon(words, c, tokens, kinds, common)
+    if kinds.any():
+        made.rare = rest
+    return made
 
 
 def _examples(values: np.ndarray, offsets: np.ndarray, words: Lexicon, span: int):
@@ -210,19 +233,26 @@ def fit(docs: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY, sam
     return words, net
 
 
-def _scorer(shared):
+def _scorer(shared, rare: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
         for batch in batches:
             values, offsets = tk.text_buffers(batch.column(1))
             for i, j in tk.runs(offsets, 256 << 10):
-                classes, shares, counts, around = _examples(values, offsets[i : j + 1], words, net.span)
+                hashes, counts = tk.word_hashes(values, offsets[i : j + 1])
+                classes, shares = words.look_up(hashes)
+                around = neighbours(classes, counts, net.span, words.size)
                 each = shares.astype(np.float64)
                 for a in range(0, len(classes), 8192):
                     each[a : a + 8192] += net.log_probs(around[a : a + 8192], classes[a : a + 8192])
                 total = np.bincount(np.repeat(np.arange(j - i), counts), weights=each, minlength=j - i).astype(np.float64)
                 mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                columns = {"doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array(counts), "log_likelihood": pa.array(total), "mean_log_likelihood": mean}
+                if rare:
+                    known = words.knows(hashes)
+                    ends = np.concatenate(([0], np.cumsum(~known)))[np.concatenate(([0], np.cumsum(counts)))]
+                    columns["rare"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes[~known].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -234,4 +264,15 @@ def score(docs: DataFrame, model: tuple[Lexicon, WindowNetwork] | None) -> DataF
     if model is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_likelihood"), F.lit(None).cast("double").alias("mean_log_likelihood"))
     shared = spark.sparkContext.broadcast(model)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(_scorer(shared)), f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    words, _ = model
+    rare = words.rare is not None
+    cut = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    made = cut.mapInArrow(tidy(_scorer(shared, rare)), f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double" + ", rare array<long>" * rare)
+    if not rare:
+        return made
+    # Rows are numbered before the checkpoint, so that both sides of the last join have the same numbers.
+    made = made.withColumn("_r", F.monotonically_increasing_id()).checkpoint()
+    gains = made.select("_r", F.explode("rare").alias("word")).join(words.gains(), "word").groupBy("_r").agg((F.sum("gain") / _UNIT).alias("gain"))
+    total = F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return made.drop("rare").join(gains, "_r", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))

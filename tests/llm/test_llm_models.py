@@ -167,6 +167,20 @@ def test_every_token_trains_by_default(spark):
         assert mean(texts) > mean(mixed) + 0.5, options
 
 
+def test_words_beyond_the_broadcast_have_their_own_share(spark):
+    """Scores do not depend on how many words are broadcast, also not those of rows that share an id."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.02)), 400)}" for _ in range(100)) for _ in range(60)]
+    rows = [*enumerate(texts), (1, texts[0]), (None, texts[1]), (7, None), (8, "w0 never-seen-alone"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda x: (x.doc_id is None, x.doc_id or 0, x.n_tokens, x.log_likelihood)
+    some, every = (sorted(lmscore.score(docs, lmscore.fit(docs, common=20, vocabulary=v)).collect(), key=order) for v in (60, 10**6))
+    assert len(some) == len(rows)
+    for a, b in zip(some, every, strict=True):
+        assert (a.doc_id, a.n_tokens) == (b.doc_id, b.n_tokens) and a.log_likelihood == pytest.approx(b.log_likelihood, abs=2e-2)
+        assert (a.mean_log_likelihood is None) == (a.n_tokens == 0) and (a.n_tokens == 0 or a.mean_log_likelihood == pytest.approx(a.log_likelihood / a.n_tokens))
+
+
 def test_score_equals_the_sum_over_tokens(spark):
     texts = {1: "a b c d a b", 2: "a", 3: None, 4: "..", 5: "zz yy"}
     words, net = lmscore.fit(frame(spark, texts))
