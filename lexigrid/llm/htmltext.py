@@ -8,8 +8,8 @@ over sliding windows of lines; where the sum rises from the ground is a surge,
 where it falls back a dive, and the stretch of the largest total between the two
 is the article. Its ends are then set to the container that holds it: an article
 or main element if there is one, else the lines beside it with the same parent,
-so that short headings and paragraphs at either end stay and lines of other
-containers beside it go.
+so that short headings and paragraphs at either end and parts beyond a list or box
+of no weight stay, and lines of other containers beside it go.
 
 Edge cases: a null or empty page, and one without text, gives an empty text;
 unclosed and stray tags, comments and quotes are tolerated; a text in no element
@@ -171,7 +171,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             first -= 1
         while last + 1 < len(lines) and weights[last + 1] and at_home(last + 1):
             last += 1
-        chosen = range(first, last + 1)
+        # Beyond lists and boxes of no weight, the container's own lines go on.
+        own = [i for i, x in enumerate(lines) if weights[i] and x.parent in homes]
+        begin, end = min([first, *own]), max([last, *own])
+        chosen = [i for i in range(begin, end + 1) if first <= i <= last or at_home(i)]
     return " ".join(texts[i] for i in chosen if texts[i] and not lines[i].bad)
 
 

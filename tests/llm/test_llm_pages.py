@@ -37,6 +37,18 @@ def test_pages_without_an_article_element():
     assert got.startswith(f"Head {PARAGRAPH}0") and got.endswith("Fin.") and "About" not in got and "Imprint" not in got
 
 
+@pytest.mark.parametrize("name", ["content", "post", "entry", "x"])
+@pytest.mark.parametrize("tag", ["div", "aside"])
+def test_a_box_in_mid_article_does_not_end_it(name, tag):
+    box = f'<{tag} class="related">' + "".join(f"<p>Advertised {i}</p>" for i in range(7)) + f"</{tag}>"
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(7)) + "</ul>"
+    for widget, kept in ((box, ""), (links, " ".join(f"Link {i}" for i in range(7)) + " ")):
+        for few, many in ((1, 3), (3, 1)):
+            before, after = (" ".join([PARAGRAPH] * k) for k in (few, many))
+            page = f'<body><div class="nav"><a href="/">Home</a></div><div class="{name}"><p>{before}</p>{widget}<p>{after}</p></div><div><p>Other words.</p></div></body>'
+            assert htmltext.main_text(page) == " ".join(f"{before} {kept}{after}".split())
+
+
 def test_marks_of_what_is_not_the_article():
     inside = f"<h1>Head</h1><p>{PARAGRAPH}</p>"
     want = " ".join(f"Head {PARAGRAPH}".split())
