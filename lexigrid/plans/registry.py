@@ -663,7 +663,7 @@ def density_clusters(spark, d):
 def map_layout(spark, d):
     from lexigrid.operators import density
 
-    return density.umap(_vectors(spark, d), 15, epochs=50)
+    return density.umap(_vectors(spark, d), 15)
 
 
 # --- text and records ---------------------------------------------------------------------------
