@@ -13,17 +13,28 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 #: Bytes of an Arrow batch between the JVM and Python, of which each task holds a few.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Batches = Iterator[pa.RecordBatch]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that spark.checkpoint.dir names, or one of our own without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    own = spark.sparkContext.getCheckpointDir()
-    return named or (own.rsplit("/", 1)[0] if own else "file://" + tempfile.mkdtemp(prefix="lexigrid-"))
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
+
+    Where the setting is missing, a session whose executors are threads of the driver
+    gets a temporary folder; on a cluster that is an error, as executors would not
+    see one another's files.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if own := sc.getCheckpointDir():
+        return own.rsplit("/", 1)[0]
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lexigrid-")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
