@@ -8,8 +8,10 @@ fills whole sequences of its own, and what no sequence has room for is cut over
 the lowest-cost ones. A block has as many full sequences as its tokens fill; the
 tokens that are left over make sequences of powers of two, which need no padding.
 
-A block is packed by the task that tokenised it, so ids never leave their task
-and nothing is shuffled; memory follows the block and the longest document.
+A block is packed by the task that tokenised it, and its ids stay there but for the
+rest (fewer than a sequence's tokens): the rests of GROUP neighbouring tasks meet in a
+second, small pass, which packs them in the same way and ends in sequences of powers
+of two. Memory follows the block, the group's rests and the longest document.
 
 Edge cases: a null or empty text is the end-of-document id alone; a null doc_id
 is carried as null; repeated rows are documents of their own; equal lengths are
@@ -25,7 +27,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ WINDOW, END_ID, BLOCK_TOKENS = 4096, 2, 4_000_000
 QUADRATIC = 1 / (6 * 4096)
 VOCABULARY = "word_bpe_49k.json"
 #: White-space pieces whose ids a worker remembers before it starts anew.
-PIECES = 300_000
+PIECES = 150_000
+#: Tasks (a power of two) whose blocks' rests are packed together, and what their sequences' ids start at.
+GROUP, _RESTS = 256, 1 << 62
 #: Separators to Python that are ordinary characters to the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Characters without combining marks, which composition leaves as they are.
@@ -60,11 +64,9 @@ class ByteMerges:
     END = "</w>"
 
     def __init__(self, path: str):
-        import regex
-        import tiktoken
-
         with open(path) as f:
-            model = json.load(f)["model"]
+            told = json.load(f)
+        model, self.special = told["model"], [t["content"] for t in told["added_tokens"]]
         vocabulary, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.sound = model["end_of_word_suffix"] == self.END and self._closed(vocabulary, merges)
         if not self.sound:
@@ -84,8 +86,24 @@ class ByteMerges:
             ranks[bytes([byte[c]])], ids[k] = k, vocabulary[c]
         self.ids = np.array([ids[k] for k in range(len(ids))], np.uint32)
         self.line = vocabulary[_byte_letters()[10] + self.END]
+        self.ranks = ranks
+        self._start()
+
+    def _start(self) -> None:
+        import regex
+        import tiktoken
+
         self.words = regex.compile(self.WORD)
-        self.engine = tiktoken.Encoding("merges", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.engine = tiktoken.Encoding("merges", pat_str=r"[^\x00]+\x00", mergeable_ranks=self.ranks, special_tokens={})
+
+    def __getstate__(self) -> dict:
+        """What workers get: tables, from which each starts its engine without reading the vocabulary."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "engine")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.sound:
+            self._start()
 
     @classmethod
     def _closed(cls, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> bool:
@@ -125,20 +143,24 @@ class PieceIds:
     merges are not sound, go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, pieces: int = PIECES):
+    def __init__(self, path: str, merges: ByteMerges | None = None, pieces: int = PIECES):
+        self.path, self.pieces, self.merges = path, pieces, merges or ByteMerges(path)
+        self._forget()
+
+    @cached_property
+    def tokenizer(self):
+        """Loaded only where some piece needs it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.merges = Tokenizer.from_file(path), pieces, ByteMerges(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        return Tokenizer.from_file(self.path)
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
-        latin = [w for w in new if _LATIN(w) and not ("<" in w and any(t in w for t in self.special))] if self.merges.sound else []
+        latin = [w for w in new if _LATIN(w) and not ("<" in w and any(t in w for t in self.merges.special))] if self.merges.sound else []
         if latin:
             self._keep(latin, *self.merges.encode(latin))
         if rest := [w for w in new if w not in self.known] if len(latin) < len(new) else []:
@@ -174,14 +196,48 @@ class PieceIds:
 
 
 @lru_cache(1)
-def piece_ids(path: str | None) -> PieceIds:
-    import public_tokenizers
+def byte_merges(path: str) -> ByteMerges:
+    """Read and proven once, by the driver."""
+    return ByteMerges(path)
+
+
+_encoders: dict[str, PieceIds] = {}
+
+
+def piece_ids(path: str, merges: ByteMerges) -> PieceIds:
+    """A worker's encoder, which serves all its tasks."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = PieceIds(path, merges)
+    return _encoders[path]
+
 
-    return PieceIds(path or public_tokenizers.path(VOCABULARY))
+def _forget_pieces() -> None:
+    for x in _encoders.values():
+        x._forget()
 
 
 def pack(lengths: list[int], window: int = WINDOW, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) that hold every token once."""
+    """Pieces (document, start, length, sequence, offset) that hold every token once; what fills no sequence makes powers of two."""
+    pieces, rest, full = pack_full(lengths, window, quadratic)
+    tail, room, power = sum(n for *_, n in rest), [], 1 << max(0, window.bit_length() - 1)
+    while tail:  # the larger first
+        power = min(power, 1 << (tail.bit_length() - 1))
+        room.append(power)
+        tail -= power
+    b, at = 0, 0
+    for d, start, n in rest:
+        while n:
+            take = min(n, room[b] - at)
+            pieces.append((d, start, take, full + b, at))
+            n, start, at = n - take, start + take, at + take
+            if at == room[b]:
+                b, at = b + 1, 0
+    return pieces
+
+
+def pack_full(lengths: list[int], window: int = WINDOW, quadratic: float = QUADRATIC) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]], int]:
+    """Pieces in full sequences, those (document, start, length) of fewer tokens than a window that are left, and the number of sequences."""
     pieces, made, rest = [], 0, []
     for d, n in enumerate(lengths):
         for k in range(n // window):
@@ -190,7 +246,7 @@ def pack(lengths: list[int], window: int = WINDOW, quadratic: float = QUADRATIC)
         if n % window:
             rest.append((n % window, d, n - n % window))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    full, tail = divmod(sum(x[0] for x in rest), window)
+    full = sum(x[0] for x in rest) // window
     room = [window] * full
     heap = [(0.0, b) for b in range(full)]
     waiting: dict[int, list[tuple[float, int]]] = {}  # sequences by the room they have, too small for what is being placed
@@ -219,48 +275,54 @@ def pack(lengths: list[int], window: int = WINDOW, quadratic: float = QUADRATIC)
     for xs in waiting.values():
         for x in xs:
             heapq.heappush(heap, x)
-    power = 1 << max(0, window.bit_length() - 1)
-    ends = {b: window for b in range(full)}
-    while tail:  # the tail's sequences come last, the larger first
-        if power <= tail:
-            b = len(room)
-            room.append(power)
-            ends[b] = power
-            heapq.heappush(heap, (float("inf"), b))
-            tail -= power
-        else:
-            power >>= 1
+    left = []
     for n, d, start in cut:
-        while n:
+        while n and heap:
             cost, b = heapq.heappop(heap)
             take = min(n, room[b])
-            cost = place(d, start, take, cost, b, ends[b] - room[b])
+            cost = place(d, start, take, cost, b, window - room[b])
             room[b] -= take
             n, start = n - take, start + take
             if room[b]:
                 heapq.heappush(heap, (cost, b))
-    return pieces
+        if n:
+            left.append((d, start, n))
+    return pieces, left, made + full
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packer(path: str | None, window: int, quadratic: float, block_tokens: int):
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+#: A rest's row: sequence_id tells its place among its task's, ids holds its tokens.
+_REST_SCHEMA = SCHEMA + ", ids binary"
+
+
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def _packer(path: str, shared, window: int, quadratic: float, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, ids, held = piece_ids(path), [], [], 0
-        base = TaskContext.get().partitionId() << 40
+        encoder, docs, ids, held, rests = piece_ids(path, shared.value), [], [], 0, 0
+        task = TaskContext.get().partitionId() << 40
+        base = task
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal base, docs, ids, held
-            got = pack([len(x) for x in ids], window, quadratic)
+            nonlocal base, docs, ids, held, rests
+            got, left, made = pack_full([len(x) for x in ids], window, quadratic)
             columns = [
-                [docs[d] for d, *_ in got], [x[1] for x in got], [x[2] for x in got],
-                [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, *_ in got],
+                [docs[d] for d, *_ in got], [x[1] for x in got], [x[2] for x in got], [_crc(ids[d][s : s + n]) for d, s, n, *_ in got],
                 [len(ids[d]) for d, *_ in got], [base + x[3] for x in got], [x[4] for x in got],
             ]
-            base += 1 + max((x[3] for x in got), default=-1)
+            more = [
+                [docs[d] for d, *_ in left], [x[1] for x in left], [x[2] for x in left], [None] * len(left),
+                [len(ids[d]) for d, *_ in left], [task + rests + k for k in range(len(left))], [None] * len(left),
+            ]
+            tokens = [None] * len(got) + [ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in left]
+            base, rests = base + made, rests + len(left)
             docs, ids, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(pa.array(a + b, pa.int64()) for a, b in zip(columns, more, strict=True)), pa.array(tokens, pa.binary())], names=[*_NAMES, "ids"])
 
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
@@ -277,8 +339,30 @@ def _packer(path: str | None, window: int, quadratic: float, block_tokens: int):
     return run
 
 
+def _rest_packer(window: int, quadratic: float):
+    def run(key: tuple, rests: pa.Table) -> pa.Table:
+        rows = rests.sort_by("sequence_id").to_pylist()
+        ids = [np.frombuffer(r["ids"], "<u4") for r in rows]
+        base, out = _RESTS | (key[0].as_py() << 40), {c: [] for c in _NAMES}
+        for d, s, n, sequence, offset in pack([len(x) for x in ids], window, quadratic):
+            r = rows[d]
+            for c, v in zip(_NAMES, (r["doc_id"], r["start"] + s, n, _crc(ids[d][s : s + n]), r["doc_tokens"], base + sequence, offset), strict=True):
+                out[c].append(v)
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+    return run
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, quadratic: float = QUADRATIC, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece; ``path`` names the vocabulary file (default: the public one of this environment)."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    shared = spark.sparkContext.broadcast(byte_merges(path))  # a vocabulary's merges
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(tidy(_packer(path, window, quadratic, block_tokens), lambda: piece_ids(path)._forget()), SCHEMA)
+    made = cut.mapInArrow(tidy(_packer(path, shared, window, quadratic, block_tokens), _forget_pieces), _REST_SCHEMA).checkpoint()
+    rests = made.filter("ids is not null").withColumn("tasks", F.shiftright(F.shiftrightunsigned("sequence_id", 40), GROUP.bit_length() - 1))
+    packed = rests.groupBy("tasks").applyInArrow(_rest_packer(window, quadratic), SCHEMA)
+    return made.filter("ids is null").drop("ids").unionByName(packed)

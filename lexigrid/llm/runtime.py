@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.runtime import prepare, shared_dir, tidy
+from lexigrid import runtime
+from lexigrid.runtime import prepare, shared_dir
+
+from . import textkernel
 
 __all__ = ["maybe_broadcast", "prepare", "shared_dir", "small_enough", "table", "tidy"]
 
@@ -22,3 +27,14 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only once a count has shown that df is small; otherwise Spark shuffles."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def tidy(run: Callable[[runtime.Batches], runtime.Batches], forget: Callable[[], None] | None = None) -> Callable[[runtime.Batches], runtime.Batches]:
+    """run, after which its worker returns what it and the text kernel no longer need."""
+
+    def clear() -> None:
+        textkernel.forget()
+        if forget:
+            forget()
+
+    return runtime.tidy(run, clear)

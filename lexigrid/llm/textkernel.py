@@ -48,6 +48,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def forget() -> None:
+    """Give the tables back; the next text makes them anew."""
+    _powers[:] = [np.ones(1, _U), np.ones(1, _U)]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
     if column.null_count:

@@ -106,3 +106,24 @@ def test_query_on_small_tables(spark):
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     check(QUERIES["op6_packed_sequences"](spark, SMALL).collect(), texts)
+
+
+def test_rests_of_tasks_are_packed_together(spark):
+    """Many small tasks leave no more short sequences than one group's powers of two."""
+    texts = {d: " ".join(["word"] * (1 + d % 37)) for d in range(640)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(64)
+    rows = pk.pack_documents(df).collect()
+    check(rows, texts)
+    held = defaultdict(int)
+    for r in rows:
+        held[r.sequence_id] += r.length
+    assert sum(n < 4096 for n in held.values()) <= 12 and sum(held.values()) == sum(len(x) for x in ids_of(texts.values()))
+
+
+def test_workers_start_from_tables_alone():
+    import pickle
+
+    a = pk.ByteMerges(PATH)
+    b = pickle.loads(pickle.dumps(a))
+    assert all((x == y).all() for x, y in zip(a.encode(["Hello", "wörld"]), b.encode(["Hello", "wörld"]), strict=True))
+    assert "tokenizer" not in pk.PieceIds(PATH, b).__dict__
