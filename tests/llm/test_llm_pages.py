@@ -59,6 +59,53 @@ def test_marks_of_what_is_not_the_article():
     assert htmltext.main_text(f'<article><header><h1>Head</h1></header><p>{PARAGRAPH}</p></article><div id="comments"><article><p>{PARAGRAPH * 3}</p></article></div>') == want
 
 
+BODY = f"<h1>Head</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH * 2}</p><p>End.</p>"
+WANT = " ".join(f"Head {PARAGRAPH * 3}End.".split())
+
+
+@pytest.mark.parametrize("page", [
+    '<div style="overflow:hidden">%s</div>', '<article style="overflow: hidden">%s</article>', '<div data-id="nav">%s</div>', '<article class="post comments-open">%s</article>',
+    '<form id="aspnetForm"><div id="page">%s</div></form>', '<div class="sidebar-open"><div class="wrapper">%s</div></div>', '<div title="class=comments">%s</div>', "<div class='main-column'>%s</div>", "<table><tr><td>%s</td></tr></table>", "<div class=x data-role=nav>%s</div>",
+])
+def test_attributes_are_read_as_pairs(page):
+    menu, foot = "<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<footer>All rights</footer>"
+    assert htmltext.main_text(f"<body>{menu}{page % BODY}{foot}</body>") == WANT
+
+
+@pytest.mark.parametrize("frame", ["<article>%s</article>", "<div>%s</div>", "<main>%s</main>"])
+def test_marks_only_weigh(frame):
+    """Parts of an article whose slug is a word of marks stay; what is marked as itself goes."""
+    for part in ('<section id="discussion">%s</section>', '<section id="related-work">%s</section>', '<section id="notice">%s</section>', '<h2 id="notice-period">Notice</h2>%s', '<div class="respond">%s</div>'):
+        inside = part % f"<p>{PARAGRAPH}</p>"
+        head = "Notice " if "<h2" in part else ""
+        assert htmltext.main_text(f"<body>{frame % (BODY + inside)}</body>") == " ".join(f"{WANT} {head}{PARAGRAPH}".split()), part
+    for part in ('<section class="comments">%s</section>', '<div class="notice">%s</div>', '<div class="related-posts">%s</div>', '<div id="cookie-banner">%s</div>', '<div class="ad-slot">%s</div>', "<aside>%s</aside>", '<div class="sidebar">%s</div>', '<section id="comments">%s</section>'):
+        assert htmltext.main_text(f"<body>{frame % (BODY + part % f'<p>{PARAGRAPH}</p>')}</body>") == WANT, part
+
+
+def plain_line_blocks(lengths, window=5, surge=60):
+    """The stretch by its definition: every run of windows whose sums reach the level, the heaviest, without empty ends."""
+    n = len(lengths)
+    sums = [sum(lengths[i : i + window]) for i in range(n)]
+    level = min(surge, max(sums, default=0))
+    best = None
+    for a in range(n):
+        for b in range(a, n):
+            if level and all(x >= level for x in sums[a : b + 1]) and (a == 0 or sums[a - 1] < level) and (b == n - 1 or sums[b + 1] < level):
+                inside = [i for i in range(a, min(b + window, n)) if lengths[i]]
+                if best is None or sum(lengths[i] for i in inside) > best[0]:
+                    best = (sum(lengths[i] for i in inside), inside[0], inside[-1])
+    return best[1:] if best else (0, -1)
+
+
+def test_distribution_equals_its_definition():
+    r = random.Random(9)
+    for _ in range(300):
+        lengths = [r.choice((0, 0, 0, 0, 5, 30, 200)) for _ in range(r.randrange(40))]
+        got = htmltext._densest(lengths, 5, 60)
+        assert got == plain_line_blocks(lengths) or got[0] > got[1] and not any(lengths), lengths
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p></p><br>", ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b", "a b"), ("<b>one</b>two", "onetwo"), ("a < b and <3", "a < b and <3"), ("<script>x", ""), ("<!-- open", ""), ("<article>x</article>", "x"), ("</div></div>x", "x"), ("<nav>only menu</nav>", "")])
 def test_odd_pages(page, text):
     assert htmltext.main_text(page) == text
