@@ -10,7 +10,8 @@ own length; documents are then read for windows of that length too.
 
 The benchmark's fingerprints and windows, and the ids of documents that have
 hits, are broadcast only if a count shows them to be few; else Spark shuffles.
-Windows that the same items share are joined once, as a set of items.
+Windows that the same items share are joined once, as a set of items that has a
+name; the sets' items stay rows.
 
 Edge cases: a null or empty text has no words and no hits; rows that repeat a
 doc_id are counted for themselves and each gets a row, also with a null doc_id;
@@ -107,47 +108,54 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "hash": F.xxhash64(F.col("text").cast("string"))})
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Every window (key, hash, at, size, set_id) of docs that items hold, and the items (set_id, items) of each set."""
-    prepare(docs.sparkSession)
-    items = with_words(benchmark.filter("item_id is not null").select("item_id", "text")).drop("text").filter(F.size("words") > 0)
-    items = items.withColumn("n", F.least(F.size("words"), F.lit(window))).checkpoint()
-    sizes = sorted({window, *(r["n"] for r in items.select("n").distinct().collect())})  # at most ``window`` numbers
-    whole = None
-    for n in sizes:
-        part = _windows(items.filter(F.col("n") == n), [n], window, gram)
-        part = part.select("item_id", F.lit(n).alias("size"), "words", F.posexplode(f"f{n}").alias("at", "fp")).select("item_id", "size", "fp", _text_of(F.col("at") + 1, n).alias("span"))
-        whole = part if whole is None else whole.unionByName(part)
-    whole = whole.checkpoint()
-    by_span = whole.groupBy("size", "span").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("set_id", F.xxhash64("items")).checkpoint()
-    spans = by_span.select("size", "span", "set_id")
-    sets = by_span.select("set_id", "items").dropDuplicates(["set_id"])
-    prints = whole.select("fp", "size").distinct()
-
-    text = F.col("text").cast("string")
-    keyed = _keyed(docs.select("doc_id", text.alias("text")))
-    read = _windows(with_words(keyed.select("key", "hash", "text")).drop("text"), sizes, window, gram)
-    few = maybe_broadcast(prints, BROADCAST_ROWS)
-    met = None
-    for n in sizes:
-        part = read.select("key", "hash", F.explode(F.array_distinct(f"f{n}")).alias("fp")).join(few.filter(F.col("size") == n), "fp")
-        met = part if met is None else met.unionByName(part)
-    hits = met.groupBy("key", "hash").agg(*(F.collect_set(F.when(F.col("size") == n, F.col("fp"))).alias(f"s{n}") for n in sizes)).checkpoint()
-
-    seen = keyed.select("key", "hash", "text").join(_broadcast_if_light(hits, [f"s{n}" for n in sizes]), ["key", "hash"]).dropDuplicates(["key", "hash"])
-    seen = _windows(with_words(seen.select("key", "hash", "text", *(f"s{n}" for n in sizes))).drop("text"), sizes, window, gram)
-    found = None
-    for n in sizes:
-        starts = F.filter(F.transform(F.col(f"f{n}"), _start_if_in(F.col(f"s{n}"))), lambda i: i.isNotNull())
-        part = seen.select("key", "hash", "words", F.explode(starts).alias("at")).select("key", "hash", "at", F.lit(n).alias("size"), _text_of(F.col("at"), n).alias("span"))
-        found = part if found is None else found.unionByName(part)
-    found = found.join(maybe_broadcast(spans, BROADCAST_ROWS), ["size", "span"]).select("key", "hash", "at", "size", "set_id").checkpoint()
-    return found, sets
+class Benchmark:
+    """A benchmark's window sizes and tables: prints (fp), spans (size, span, set_id) and sets (set_id, item_id)."""
+
+    def __init__(self, benchmark: DataFrame, window: int, gram: int):
+        items = with_words(benchmark.filter("item_id is not null").select("item_id", "text")).drop("text").filter(F.size("words") > 0)
+        items = items.withColumn("n", F.least(F.size("words"), F.lit(window))).repartition("item_id").checkpoint()
+        self.window, self.gram = window, gram
+        self.sizes = sorted({window, *(r["n"] for r in items.select("n").distinct().collect())})  # at most ``window`` numbers
+        whole = None
+        for n in self.sizes:
+            part = _windows(items.filter(F.col("n") == n), [n], window, gram)
+            part = part.select("item_id", F.lit(n).alias("size"), "words", F.posexplode(f"f{n}").alias("at", "fp")).select("item_id", "size", "fp", _text_of(F.col("at") + 1, n).alias("span"))
+            whole = part if whole is None else whole.unionByName(part)
+        whole = whole.distinct().checkpoint()
+        # Windows of the same items have one set_id, made of the items' hashes, so that no window gathers its items.
+        own = F.xxhash64(F.bit_xor(F.xxhash64("item_id")), F.bit_xor(F.xxhash64("item_id", F.lit(1))), F.count("*"))
+        self.spans = whole.groupBy("size", "span").agg(own.alias("set_id")).checkpoint()
+        one = self.spans.groupBy("set_id").agg(F.min(F.struct("size", "span")).alias("w")).select("set_id", "w.*")
+        self.sets = whole.select("size", "span", "item_id").join(one, ["size", "span"]).select("set_id", "item_id").checkpoint()
+        self.prints = whole.select("fp").distinct().checkpoint()
+
+    def found(self, keyed: DataFrame) -> DataFrame:
+        """Every window (key, hash, at, size, set_id) of keyed texts that items hold."""
+        read = _windows(with_words(keyed.select("key", "hash", "text")).drop("text"), self.sizes, self.window, self.gram)
+        own = F.array_distinct(F.concat(*(F.col(f"f{n}") for n in self.sizes)))
+        met = read.select("key", "hash", F.explode(own).alias("fp")).join(maybe_broadcast(self.prints, BROADCAST_ROWS), "fp")
+        hits = met.groupBy("key", "hash").agg(F.collect_set("fp").alias("prints")).checkpoint()
+        seen = keyed.select("key", "hash", "text").join(_broadcast_if_light(hits, ["prints"]), ["key", "hash"])
+        seen = _windows(with_words(seen).drop("text"), self.sizes, self.window, self.gram)
+        starts = [F.transform(F.filter(F.transform(F.col(f"f{n}"), _start_if_in(F.col("prints"))), lambda i: i.isNotNull()), _sized(n)) for n in self.sizes]
+        windows = seen.select("key", "hash", "words", F.explode(F.concat(*starts)).alias("w")).select("key", "hash", "w.*", _text_of(F.col("w.at"), F.col("w.size")).alias("span"))
+        # Rows that repeat a document meet here, after its text has been left behind.
+        return windows.join(maybe_broadcast(self.spans, BROADCAST_ROWS), ["size", "span"]).select("key", "hash", "at", "size", "set_id").distinct().checkpoint()
+
+    def items_of(self, found: DataFrame) -> DataFrame:
+        """key, hash and item_id of every item that a document holds windows of."""
+        return found.select("key", "hash", "set_id").distinct().join(maybe_broadcast(self.sets, BROADCAST_ROWS), "set_id").select("key", "hash", "item_id").distinct()
+
+
+def _sized(n: int):
+    return lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, contaminated: int = CONTAMINATED) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs."""
-    found, sets = _matches(docs, benchmark, window, gram)
+    prepare(docs.sparkSession)
+    keyed, bench = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))), Benchmark(benchmark, window, gram)
+    found = bench.found(keyed)
     reach = F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end"))))
     start = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).alias("end"))
     covered = F.aggregate(
@@ -156,11 +164,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         lambda acc: acc["covered"],
     )
     n_hit = found.groupBy("key", "hash").agg(covered.alias("n_hit"))
-    which = (
-        found.select("key", "hash", "set_id").distinct().join(sets, "set_id").groupBy("key", "hash")
-        .agg(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("items"))), lambda i: i.cast("string"))).alias("items"))
-    )
-    counted = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).withColumn("parts", _split(F.col("text"), _BETWEEN_ANY))
+    which = bench.items_of(found).groupBy("key", "hash").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    counted = keyed.withColumn("parts", _split(F.col("text"), _BETWEEN_ANY))
     counted = counted.select("doc_id", "key", "hash", F.size(_inner(F.col("parts"))).cast("long").alias("n_words"))
     out = counted.join(n_hit.join(which, ["key", "hash"]), ["key", "hash"], "left")
     n_items = F.coalesce(F.size("items"), F.lit(0)).cast("long")
@@ -170,23 +175,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     )
 
 
+def _without(text: Column, hit: Column) -> Column:
+    """text less the words at the positions in hit, each with what separates it from the next word."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(_ANY_CASE), F.lit(0)).alias("every"), F.split(text, _ANY_CASE, -1).alias("between"), hit.alias("hit"))
+
+    def joined(p: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(1), F.size(p["every"])), p["hit"])
+        return F.concat(F.element_at(p["between"], 1), F.array_join(F.transform(kept, lambda i: F.concat(F.element_at(p["every"], i), F.element_at(p["between"], i + 1))), ""))
+
+    return F.element_at(F.transform(F.array(parts), joined), 1)  # parts are split once, not for every word
+
+
+def _hit_words(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("key", "hash").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias(name))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, contaminated: int = CONTAMINATED) -> DataFrame:
     """docs without the rows that hold windows of ``contaminated`` items or more; from the others the hit words are cut.
 
-    A cut takes each hit word and what separates it from the next word. Columns
+    A cut takes each hit word and what separates it from the next word. Where a cut's
+    sides make a window together, that is cut too, until no window is left. Columns
     stay as they are but for text and, where there is one, n_chars.
     """
-    found, sets = _matches(docs, benchmark, window, gram)
-    of = found.groupBy("key", "hash").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("hit"))
-    items = found.select("key", "hash", "set_id").distinct().join(sets, "set_id").groupBy("key", "hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n_items"))
-    marked = _broadcast_if_light(of.join(items, ["key", "hash"]).checkpoint(), ["hit"])
+    prepare(docs.sparkSession)
+    bench = Benchmark(benchmark, window, gram)
+    keyed = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("key", "hash", "text")
+    found = bench.found(keyed)
+    items = bench.items_of(found).groupBy("key", "hash").agg(F.count("*").alias("n_items"))
+    marked, cuts = _hit_words(found, "cut1").join(items, ["key", "hash"]).checkpoint(), ["cut1"]
+
+    def cut(text: Column) -> Column:
+        for c in cuts:
+            text = F.when(F.col(c).isNotNull(), _without(text, F.col(c))).otherwise(text)
+        return text
+
+    while True:
+        left = keyed.join(_broadcast_if_light(marked.filter(F.col("n_items") < contaminated), cuts), ["key", "hash"]).withColumn("text", cut(F.col("text")))
+        found = bench.found(left)
+        if found.isEmpty():
+            break
+        name = f"cut{len(cuts) + 1}"
+        marked = marked.join(_hit_words(found, name), ["key", "hash"], "left").checkpoint()
+        cuts.append(name)
     # The rows are carried as one column, so that no name of theirs can clash with ours.
     carried = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))).drop("doc_id")
-    joined = carried.join(marked, ["key", "hash"], "left").filter(F.col("n_items").isNull() | (F.col("n_items") < contaminated))
-    every, between = F.regexp_extract_all("text", F.lit(_ANY_CASE), F.lit(0)), F.split("text", _ANY_CASE, -1)
-    kept = F.array_except(F.sequence(F.lit(1), F.size("every")), "hit")
-    cut = F.concat(F.element_at("between", 1), F.array_join(F.transform(kept, lambda i: F.concat(F.element_at("every", i), F.element_at("between", i + 1))), ""))
-    hit = F.col("hit").isNotNull()
-    out = joined.withColumns({"every": F.when(hit, every), "between": F.when(hit, between)}).withColumn("new", F.when(hit, cut))
+    joined = carried.join(_broadcast_if_light(marked, cuts), ["key", "hash"], "left").filter(F.col("n_items").isNull() | (F.col("n_items") < contaminated))
+    hit = F.col("cut1").isNotNull()
+    out = joined.withColumn("new", F.when(hit, cut(F.col("text"))))
     changed = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return out.select(*(F.when(hit, changed[c]).otherwise(F.col("row").getField(c)).alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns))

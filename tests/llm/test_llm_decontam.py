@@ -81,6 +81,25 @@ def test_decontaminate(spark):
     assert out.columns == df.columns
 
 
+def test_sides_of_a_cut_make_no_window(spark):
+    """A window inside a window, whole or threefold: nothing of it is left."""
+    one = "aa bb cc dd ee ff gg hh"
+    two = "aa bb cc dd " * 2 + one + " ee ff gg hh" * 2
+    df = spark.createDataFrame([(1, f"x aa bb cc dd [{one}] ee ff gg hh y", 1), (2, f"{two} end", 2), (2, f"{two} end", 3), (3, f"aa bb cc dd {one} gap ee ff gg hh", 4), (4, "w " * 20_000 + one, 5)], "doc_id long, text string, cut1 int")
+    items = bench(spark, [(1, one)])
+    out = dc.decontaminate(df, items)
+    assert sorted((r.doc_id, r.cut1, r.text) for r in out.collect()) == [(1, 1, "x y"), (2, 2, "end"), (2, 3, "end"), (3, 4, "aa bb cc dd gap ee ff gg hh"), (4, 5, "w " * 20_000)]
+    assert {r.n_hit for r in dc.contamination(out, items).collect()} == {0} and out.columns == df.columns
+
+
+def test_windows_shared_by_many_items(spark):
+    shared = "a b c d e f g h"
+    items = [(i, f"{shared} own{i} " + " ".join(f"t{i}x{k}" for k in range(8))) for i in range(300)]
+    docs = {1: f"{shared} {shared}", 2: f"z {items[7][1]}", 3: "t9x0 t9x1 t9x2 t9x3 t9x4 t9x5 t9x6 t9x7"}
+    got = rows(dc.contamination(frame(spark, docs), bench(spark, items)))
+    assert got == brute(docs, items) and [got[d][2] for d in (1, 2, 3)] == [300, 300, 1]
+
+
 def test_query_on_small_tables(spark):
     from lexigrid.llm.queries import QUERIES
 
