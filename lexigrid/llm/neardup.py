@@ -23,11 +23,15 @@ its estimate errs by SIGMAS standard deviations (3 in 100,000). A link of
 similarity ``s`` becomes a candidate with probability
 ``1 - (1 - s**rows)**bands``: 0.99997 at 0.8 for the defaults.
 
+Every verified link joins two different texts; ``links`` returns them with their
+similarity. A class of ``t`` different texts is held together by ``t - 1`` of them,
+which is its n_links; copies are not linked to one another but named by the class.
+
 Edge cases: a null, empty or wordless text has no shingle and is alone in its
-class; a text of one to four words is one shingle; rows that repeat a doc_id are
-one document (of several texts the one with the smallest hash counts); a null
-doc_id gets a null class; an empty table gives an empty result; further columns
-are ignored.
+class; a text of one to four words is one shingle; a document is a doc_id with a
+text, so rows that repeat both are one, and different texts of one doc_id are
+compared like any others and each have a row; a null doc_id gets a null class; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ SIZE, BITS = 512, 2
 WORDS, SIGMAS, MARGIN = SIZE * BITS // 64, 4.0, 0.015
 #: Ids are broadcast up to this number (16 bytes each on the wire); above it Spark shuffles.
 BROADCAST_IDS = 1_000_000
+#: Pairs that share one copy of a text while they are verified.
+SALT = 256
 _U = np.uint64
 
 
@@ -132,7 +138,7 @@ def _near(left: str, right: str, more: int, most: int) -> Column:
 
 
 def _signer(shingle: int, bands: int, rows: int):
-    kept = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("buckets", pa.list_(pa.int64())), *((f"s{k}", pa.int64()) for k in range(WORDS))])
+    kept = pa.schema([("own", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("buckets", pa.list_(pa.int64())), *((f"s{k}", pa.int64()) for k in range(WORDS))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,27 +185,64 @@ def _overlap(shingle: int):
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n (shingles), key_a and key_b (128 bits that name the multiset), the band hashes and the sketch."""
-    cut = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(tidy(_signer(shingle, bands, rows)), "doc_id long, text_hash long, n long, key_a long, key_b long, buckets array<long>, " + ", ".join(f"s{k} long" for k in range(WORDS)))
+    """own (the doc_id), text_hash, n (shingles), key_a and key_b (128 bits that name the multiset), the band hashes and the sketch."""
+    cut = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return cut.mapInArrow(tidy(_signer(shingle, bands, rows)), "own long, text_hash long, n long, key_a long, key_b long, buckets array<long>, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, repeated: bool) -> DataFrame:
-    """Of the pairs (a, b), those whose texts' overlap reaches the threshold; repeated: doc_ids may recur in docs."""
-    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct().checkpoint()
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(maybe_broadcast(ids, BROADCAST_IDS), "doc_id", "left_semi")
-    )
-    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if repeated else texts
-    left = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(tidy(_overlap(shingle)), "a long, b long, sim double").filter(F.col("sim") >= threshold).select("a", "b")
+class _Names:
+    """Documents under keys of their own: the doc_id, or a new number for the further texts of a doc_id that has several.
 
+    extra (own, text_hash, key) holds the latter, twice (doc_id) the keys of rows that
+    repeat a doc_id and its text; both are None where all ids differ.
+    """
 
-def _repeated(texts: DataFrame) -> bool:
-    return bool(texts.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    def __init__(self, signed: DataFrame):
+        self.extra = self.twice = None
+        if not signed.groupBy("own").count().filter("count > 1").limit(1).count():
+            return
+        told = signed.groupBy("own", "text_hash").agg(F.count("*").alias("n")).checkpoint()
+        main = told.groupBy("own").agg(F.min("text_hash").alias("main"), F.count("*").alias("texts")).filter("texts > 1").select("own", "main")
+        more = told.join(main, "own").filter("text_hash <> main").select("own", "text_hash")
+        low, high = signed.agg(F.min("own"), F.max("own")).first()
+        number = F.monotonically_increasing_id()
+        key = F.lit(high + 1) + number if high < 1 << 62 else F.lit(low - 1) - number
+        self.extra = more.withColumn("key", key).checkpoint()
+        self.twice = self.keyed(told.filter("n > 1")).select("doc_id").checkpoint()
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """rows (own, text_hash, ...) with doc_id, their key."""
+        if self.extra is None:
+            return rows.withColumn("doc_id", F.col("own"))
+        return rows.join(maybe_broadcast(self.extra, BROADCAST_IDS), ["own", "text_hash"], "left").withColumn("doc_id", F.coalesce("key", "own")).drop("key")
+
+    def once(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, ...) without those that repeat a document; only repeated ones are shuffled."""
+        if self.twice is None:
+            return rows
+        few = maybe_broadcast(self.twice, BROADCAST_IDS)
+        return rows.join(few, "doc_id", "left_anti").unionByName(rows.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    def texts(self, docs: DataFrame) -> DataFrame:
+        """doc_id (the key) and text."""
+        cut = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+        return self.keyed(cut).select("doc_id", "text")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, names: _Names, shingle: int, threshold: float) -> DataFrame:
+    """Of the pairs (a, b), those whose texts' overlap reaches the threshold, with it (sim).
+
+    A text b of many pairs is copied to SALT pairs each, so that no task gets all of them.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct().checkpoint()
+    one = names.once(names.texts(docs).join(maybe_broadcast(ids, BROADCAST_IDS), "doc_id", "left_semi"))
+    hot = maybe_broadcast(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("copies")).filter("copies > 1").checkpoint(), BROADCAST_IDS)
+    left = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(hot, "b", "left")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    dealt = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    both = dealt.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(tidy(_overlap(shingle)), "a long, b long, sim double").filter(F.col("sim") >= threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,14 +281,16 @@ def _merged(joined: DataFrame | None, links: DataFrame) -> DataFrame:
     return moved.unionByName(new.join(joined.select("node"), "node", "left_anti")).checkpoint()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (the class's smallest doc_id), is_kept (it is that one), n_shingles."""
+def _grouped(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, list[DataFrame], _Names]:
+    """Every document (doc_id, own, text_hash, n, component, n_links), the verified links (a, b, sim) and the documents' names."""
     prepare(docs.sparkSession)
     sketch = [f"s{k}" for k in range(WORDS)]
     signed = signatures(docs, shingle, bands, rows).checkpoint()
-    if repeated := _repeated(signed.select("doc_id")):
-        signed = signed.groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "n", "key_a", "key_b", "buckets", *sketch), "text_hash").alias("x")).select("doc_id", "x.*").checkpoint()
-    keyed = signed.select("doc_id", "n", "key_a", "key_b")
+    names = _Names(signed)
+    signed = names.once(names.keyed(signed))
+    if names.twice is not None:
+        signed = signed.checkpoint()
+    keyed = signed.select("doc_id", "own", "text_hash", "n", "key_a", "key_b")
     copies = keyed.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
     reps = signed.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     spread = reps.select("rep", "n", F.posexplode("buckets").alias("band", "bucket"))
@@ -259,17 +304,46 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     stars = shared.filter("rep <> center").filter(near_in_size("n", "center_n")).select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     one, two = (reps.select(F.col("rep").alias(x), F.struct(*sketch).alias(f"{x}s")) for x in ("a", "b"))
     stars = stars.join(one, "a").join(two, "b").filter(_near("as", "bs", -1, least)).select("a", "b").checkpoint()
-    links = verified(stars, docs, shingle, threshold, repeated).checkpoint()
-    joined = _merged(None, links)
+    links = [verified(stars, docs, names, shingle, threshold).checkpoint()]
+    joined = _merged(None, links[0].select("a", "b"))
     # Members of a bucket that did not meet are compared with all that lie in another class, the likely pairs first.
     likely = most_different(threshold - MARGIN, 0)
     for more, most in ((-1, likely), (likely, least)):
-        new = verified(_across(shared, joined, reps, sketch, more, most, near_in_size), docs, shingle, threshold, repeated).checkpoint()
-        joined = joined if new.isEmpty() else _merged(joined, new)
-    classes = copies.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("class_id"))
-    out = keyed.join(classes, ["key_a", "key_b", "n"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
-    nameless = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_shingles"))
-    return out.unionByName(nameless).withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
+        new = verified(_across(shared, joined, reps, sketch, more, most, near_in_size), docs, names, shingle, threshold).checkpoint()
+        if not new.isEmpty():
+            joined = _merged(joined, new.select("a", "b"))
+            links.append(new)
+    classes = copies.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("component")).checkpoint()
+    texts = classes.groupBy("component").agg((F.count("*") - 1).alias("n_links")).filter("n_links > 0")
+    classes = classes.join(maybe_broadcast(texts, BROADCAST_IDS), "component", "left")
+    out = keyed.join(classes, ["key_a", "key_b", "n"], "left")
+    return out.select("doc_id", "own", "text_hash", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), links, names
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, class_id (the class's smallest doc_id), is_kept (it stands for the class), n_shingles, n_links (of the class)."""
+    found, _, names = _grouped(docs, threshold, shingle, bands, rows)
+    found = found.withColumn("is_kept", F.col("doc_id") == F.col("component"))
+    if names.extra is None:
+        found = found.withColumn("class_id", F.col("component"))
+    else:
+        least = found.groupBy("component").agg(F.min("own").alias("class_id"))
+        found = found.join(least, "component")
+    out = found.select(F.col("own").alias("doc_id"), "class_id", F.col("n").alias("n_shingles"), "n_links", "is_kept")
+    none = [F.lit(None).cast(t).alias(c) for c, t in out.dtypes]
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()).select(*none))
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The verified links between different texts: doc_a, doc_b (the smallest doc_id that has each text) and similarity."""
+    found, made, names = _grouped(docs, threshold, shingle, bands, rows)
+    every = made[0]
+    for x in made[1:]:
+        every = every.unionByName(x)
+    if names.extra is not None:
+        for c in ("a", "b"):
+            every = every.join(names.extra.select(F.col("key").alias(c), "own"), c, "left").withColumn(c, F.coalesce("own", c)).drop("own")
+    return every.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), F.col("sim").alias("similarity")).distinct()
 
 
 def _across(shared: DataFrame, joined: DataFrame, reps: DataFrame, sketch: list[str], more: int, most: int, near_in_size) -> DataFrame:
@@ -294,10 +368,20 @@ def _across(shared: DataFrame, joined: DataFrame, reps: DataFrame, sketch: list[
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs less the rows that another document of their near-duplicate class represents, with their columns as they are.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay.
+    Different texts of one doc_id are documents of their own; of rows that repeat a
+    doc_id with its text, the one of the smallest hash of all columns stays. Rows
+    without a doc_id stay.
     """
-    gone = near_duplicates(docs).filter("not is_kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-    if not _repeated(docs.select("doc_id").filter("doc_id is not null")):
-        return rows
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    found, _, names = _grouped(docs, THRESHOLD, SHINGLE, BANDS, ROWS)
+    gone = found.filter("doc_id <> component").select(F.col("own").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    same = docs["doc_id"].cast("long") == gone["gone_id"]
+    if names.extra is None:
+        return docs.join(gone, same, "left_anti")
+    rows = docs.join(gone, same & F.xxhash64(docs["text"]).eqNullSafe(gone["gone_hash"]), "left_anti")
+    # The rows are carried as one column, so that no name of theirs can clash with ours.
+    carried = rows.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
+    named = names.keyed(carried)
+    few = maybe_broadcast(names.twice, BROADCAST_IDS)
+    single = named.filter("doc_id is null").unionByName(named.join(few, "doc_id", "left_anti").filter("doc_id is not null"))
+    one = named.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return single.select("row.*").unionByName(one.select("row.*"))

@@ -78,10 +78,12 @@ e AS (
   SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
   WHERE shared >= 0.8 * (x.n + y.n - shared)),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t AS (SELECT doc_id, md5(string_agg(sh || '#' || c, '|' ORDER BY sh)) AS bag FROM s GROUP BY doc_id),
 reach(node, other) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.node, g.b FROM reach r JOIN both_ways g ON g.a = r.other)
-SELECT node AS doc_id, min(other) AS class_id, coalesce(any_value(n.n), 0) AS n_shingles, node = min(other) AS is_kept
-FROM reach LEFT JOIN n ON n.doc_id = node GROUP BY node
+SELECT node AS doc_id, min(other) AS class_id, coalesce(any_value(n.n), 0) AS n_shingles,
+  CAST(greatest(count(DISTINCT bag) - 1, 0) AS BIGINT) AS n_links, node = min(other) AS is_kept
+FROM reach LEFT JOIN n ON n.doc_id = node LEFT JOIN t ON t.doc_id = other GROUP BY node
 """
 
 OP7_SQL = f"""

@@ -111,6 +111,31 @@ def test_edges(spark):
     assert nd.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SALT", 2)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in (3, 30, 50)]
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "x"), (1, "totally different words are here now", "y"), (1, "totally different words are here now", "z"), (9, " ".join(base), "a"), (1, near[0], "b"), (4, near[1], "c"), (5, near[2], "d"), (5, None, "e"), (None, near[2], "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links or 0) for r in nd.near_duplicates(df).collect())
+    assert got == [(-1, -1, 0), (1, 1, 0), (1, 1, 0), (1, 1, 3), (4, 1, 3), (5, 1, 3), (5, 5, 0), (9, 1, 3)]
+    kept = [[(r.doc_id, r.text, r.own) for r in nd.keep_one(d).collect()] for d in (df, df.repartition(7))]
+    assert sorted(kept[0], key=repr) == sorted(kept[1], key=repr) and len(kept[0]) == 5
+    assert [t for d, t, _ in kept[0] if d == 1].count("totally different words are here now") == 1 and (None, near[2], "f") in kept[0]
+    assert len([t for _, t, _ in kept[0] if t in (*near, " ".join(base))]) == 2  # the class's one, and the row without an id
+
+
+def test_links_are_verified_pairs(spark):
+    r = random.Random(8)
+    words = [f"v{r.randrange(90)}" for _ in range(80)]
+    docs = {k: " ".join([*words[: 7 * k], f"n{k}", *words[7 * k + 1 :]]) for k in range(10)} | {20: " ".join(words), 21: " ".join(words), 30: "other text", 31: ""}
+    bags = {i: bag(t) for i, t in docs.items()}
+    got = {(x.doc_a, x.doc_b): x.similarity for x in nd.links(frame(spark, docs)).collect()}
+    assert all(s == pytest.approx(overlap(bags[a], bags[b])) and s >= 0.8 and a < b for (a, b), s in got.items())
+    told = {x.doc_id: x for x in nd.near_duplicates(frame(spark, docs)).collect()}
+    assert told[20].n_links == told[3].n_links == 10 <= len(got) and told[30].n_links == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
