@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 from collections.abc import Callable
 
@@ -11,8 +12,13 @@ from . import ann, decontam, htmltext, langid, lmscore, neardup, packing, pii, q
 from .runtime import shared_dir, table
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key that the session sets, or a new one: pseudonyms are then linked within one result and can't be turned back later."""
+    return spark.conf.get("spark.lexigrid.pii.key", None) or secrets.token_hex(32)
+
+
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_pii")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
