@@ -12,8 +12,9 @@ hash of doc_id; scoring covers every text whole and only reads it.
 
 Edge cases: a null text is an empty one and is scored like any; a null label,
 a label other than 0 or 1 and a null doc_id teach nothing; repeated labels of a
-doc_id count by their largest value; repeated rows are scored alike; if a class
-has no example the score is the prior share of label 1 (0.5 without any label);
+doc_id count by their largest value, and one row of a doc_id teaches; repeated rows
+are scored alike; if a class has no example the score is the prior share of label 1
+(0.5 without any label), and keep_good, which can tell nothing apart, keeps all;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -122,9 +123,9 @@ class Discriminant:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = features(*tk.text_buffers(batch.column(1)))
+        x = features(*tk.text_buffers(batch.column(2)))
         edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, pa.array(x.reshape(-1)))], names=["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edges, pa.array(x.reshape(-1)))], names=["id", "y", "x"])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -140,8 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminan
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
-    seen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "id").select("y", "text")
-    rows = seen.mapInArrow(tidy(_vectors), "y int, x array<double>").toPandas()  # at most sample rows of numbers, fewer repeats
+    seen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "id").select("id", "y", "text")
+    made = seen.mapInArrow(tidy(_vectors), "id long, y int, x array<double>")
+    # One row of a doc_id teaches (of several texts the one of the smallest statistics), so that at most ``sample`` rows of numbers come here.
+    rows = made.groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.*").orderBy("id").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return Discriminant(x, rows["y"].to_numpy())
 
@@ -164,8 +167,10 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """The rows of docs that the classifier accepts, in one pass and with their columns as they are."""
+    """The rows of docs that the classifier accepts, in one pass and with their columns as they are; all rows if it has not seen both classes."""
     prepare(docs.sparkSession)
+    if not model.classes:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,17 @@ def test_quality_edges(spark):
         assert {r.held_out for r in rows if r.doc_id is None} == {False}
     assert quality.score(docs.limit(0), m).count() == 0
     kept = quality.keep_good(docs, m)
-    assert kept.columns == docs.columns and kept.count() == sum(r.score >= 0.5 for r in rows)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    one = spark.createDataFrame([(i, 0) for i in range(4)], "doc_id long, quality int")
+    assert quality.keep_good(docs, quality.fit(docs, one)).count() == 5
+
+
+def test_repeated_documents_teach_once(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(("good", "fine", "word")) for _ in range(30)) if i % 2 else "!!! ??? 12 " * r.randrange(1, 9)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = [quality.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(5), labels) for x in (rows, rows + rows[:7] * 20)]
+    assert models[0].prior == models[1].prior and all((a == b).all() for x, y in zip(models[0].classes, models[1].classes, strict=True) for a, b in zip(x[:2], y[:2], strict=True))
 
 
 def test_language_backoff_by_hand():
