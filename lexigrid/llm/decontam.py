@@ -112,8 +112,9 @@ class Benchmark:
     """A benchmark's window sizes and tables: prints (fp), spans (size, span, set_id) and sets (set_id, item_id)."""
 
     def __init__(self, benchmark: DataFrame, window: int, gram: int):
+        parts = int(benchmark.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is told is kept, however few the bytes
         items = with_words(benchmark.filter("item_id is not null").select("item_id", "text")).drop("text").filter(F.size("words") > 0)
-        items = items.withColumn("n", F.least(F.size("words"), F.lit(window))).repartition("item_id").checkpoint()
+        items = items.withColumn("n", F.least(F.size("words"), F.lit(window))).repartition(parts, "item_id").checkpoint()
         self.window, self.gram = window, gram
         self.sizes = sorted({window, *(r["n"] for r in items.select("n").distinct().collect())})  # at most ``window`` numbers
         whole = None

@@ -8,9 +8,9 @@ a softmax of the sums, tempered by the number of words.
 
 The model is fitted on at most PER_LANGUAGE documents of each language, those of
 the smallest hashes of doc_id (in each of BUCKETS buckets of ids) among documents
-that are not held out, and keeps the
-GRAMS commonest words and the GRAMS commonest n-grams of them. Prediction covers
-every text whole and reads nothing but the text.
+that are not held out, and keeps every word and n-gram of them: what a model holds is
+bounded by the examples alone. Prediction covers every text whole and reads nothing
+but the text.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a
 letter in no known n-gram leaves the prior to decide; equal sums go to the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .runtime import prepare, tidy
 
-PER_LANGUAGE, BUCKETS, GRAMS, LONGEST = 2_048, 64, 60_000, 5
+PER_LANGUAGE, BUCKETS, LONGEST = 2_048, 64, 5
 #: Unknown words whose result a worker remembers before it starts anew.
 REMEMBERED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -52,6 +52,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _matrix(counts: dict[str, list[int]], languages: list[str]) -> np.ndarray:
+    return np.array(list(counts.values()), float).reshape(len(counts), len(languages))
+
+
 class BackoffModel:
     """words and grams: text -> counts by language, in the order of languages."""
 
@@ -59,15 +63,15 @@ class BackoffModel:
         self.languages, self.n_words = languages, len(words)
         self.prior = np.log(np.array(priors, float)) if languages else np.zeros(0)
         self.words = {w: k for k, w in enumerate(words)}
-        table = [self._logs(np.array(list(words.values()), float).reshape(len(words), len(languages)))]
-        self.grams: dict[str, np.ndarray] = {}
-        by_n = defaultdict(list)
+        self.table = self._logs(_matrix(words, languages))
+        self.grams: dict[str, int] = {}
+        parts, by_n = [], defaultdict(list)
         for g in grams:
             by_n[len(g)].append(g)
         for gs in by_n.values():
-            for g, row in zip(gs, self._logs(np.array([grams[g] for g in gs], float)), strict=True):
-                self.grams[g] = row
-        self.table = np.concatenate(table)
+            self.grams.update(zip(gs, range(len(self.grams), len(self.grams) + len(gs)), strict=True))
+            parts.append(self._logs(np.array([grams[g] for g in gs], float)))
+        self.gram_table = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, len(languages)), np.float32)
 
     @staticmethod
     def _logs(counts: np.ndarray) -> np.ndarray:
@@ -76,7 +80,7 @@ class BackoffModel:
     def backoff(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             if known := [self.grams[g] for g in grams_of(word, n) if g in self.grams]:
-                return sum(known) / len(known)
+                return self.gram_table[known].mean(0, dtype=float)
         return np.zeros(len(self.languages))
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
@@ -84,11 +88,13 @@ class BackoffModel:
         if len(self.words) > self.n_words + REMEMBERED:
             for w in list(self.words)[self.n_words :]:
                 del self.words[w]
-            self.table = self.table[: self.n_words].copy()
         flat = [w for ws in texts for w in ws]
         if new := list(dict.fromkeys(w for w in flat if w not in self.words)):
-            self.words.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate((self.table, np.array([self.backoff(w) for w in new])))
+            first, last = len(self.words), len(self.words) + len(new)
+            if last > len(self.table):  # grows by half at least, so that it is seldom copied
+                self.table = np.concatenate((self.table, np.zeros((max(last - len(self.table), len(self.table) // 2), len(self.languages)))))
+            self.words.update(zip(new, range(first, last), strict=True))
+            self.table[first:last] = [self.backoff(w) for w in new]
         rows = self.table[np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))]
         owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
         return np.column_stack([np.bincount(owner, weights=rows[:, k], minlength=len(texts)) for k in range(len(self.languages))])
@@ -123,7 +129,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([n] * len(rows), pa.int32()), pa.array([g for g, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["lang", "n", "gram", "c"])
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS) -> BackoffModel:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> BackoffModel:
     """Fit on at most per_language documents of each language."""
     prepare(docs.sparkSession)
     # A language's share is dealt over buckets of ids, so that no task ranks a whole language.
@@ -133,22 +139,24 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS) -
     chosen = dealt.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(1, per_language // BUCKETS)).select("doc_id").distinct()
     seen = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = seen.mapInArrow(tidy(_counter), "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    by_gram = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).checkpoint()
     priors = {r["lang"]: r["c"] for r in seen.groupBy("lang").agg(F.count("*").alias("c")).collect()}
     languages = sorted(priors)
+    counts = counts.checkpoint()
 
-    def commonest(which: str) -> dict[str, list[int]]:
-        rows = by_gram.filter(which).orderBy(F.desc("total"), "n", "gram").limit(grams).collect()  # at most grams rows
-        return {r["gram"]: [r["by"].get(x, 0) for x in languages] for r in rows}
+    def told(which: str) -> dict[str, list[int]]:
+        """Every word or n-gram of the examples with its counts by language, in order of its text."""
+        each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("c"))), F.lit(0).cast("long")).alias(f"c{k}") for k, x in enumerate(languages)]
+        rows = counts.filter(which).groupBy("gram").agg(*each).orderBy("gram").toArrow()
+        return dict(zip(rows["gram"].to_pylist(), zip(*(rows[f"c{k}"].to_pylist() for k in range(len(languages))), strict=True), strict=True))
 
     total = sum(priors.values())
-    return BackoffModel(languages, [priors[x] / total for x in languages], commonest("n = 0 and total > 1"), commonest("n > 0 and total > 1"))
+    return BackoffModel(languages, [priors[x] / total for x in languages], told("n = 0"), told("n > 0")) if languages else BackoffModel([], [], {}, {})
 
 
 def predict(docs: DataFrame, model: BackoffModel) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # at most 2 x GRAMS rows of counts
+    shared = spark.sparkContext.broadcast(model)  # words and n-grams of a bounded number of documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -86,8 +86,9 @@ def test_repeated_documents_teach_once(spark):
 
 def test_language_backoff_by_hand():
     m = langid.BackoffModel(["a", "b"], [0.5, 0.5], {"der": [9, 1], "le": [1, 9]}, {"ab": [1, 9], "gh": [9, 1], "abc": [8, 2], "ghi": [2, 8], "z": [1, 9], "k": [9, 1]})
-    assert m.backoff("xabcx").tolist() == m.grams["abc"].tolist() and m.backoff("xabx").tolist() == m.grams["ab"].tolist()
-    assert m.backoff("qzq").tolist() == m.grams["z"].tolist() and m.backoff("qq").tolist() == [0, 0]
+    row = lambda g: m.gram_table[m.grams[g]].tolist()
+    assert m.backoff("xabcx").tolist() == row("abc") and m.backoff("xabx").tolist() == row("ab")
+    assert m.backoff("qzq").tolist() == row("z") and m.backoff("qq").tolist() == [0, 0]
     names, scores = m.predict(["der der", "xabx", None, "12 !", "qq", "Der"])
     assert names == ["a", "b", "und", "und", "a", "a"] and scores[2] == scores[3] == 0 and all(0 < s <= 1 for s in scores[:2])
 
@@ -102,6 +103,25 @@ def test_language_query(spark):
     assert np.mean([r.lang_pred == told[r.doc_id] for r in held]) > 0.98
 
 
+def test_language_model_keeps_every_count(spark):
+    """All words and n-grams of the examples, those seen once too, with their counts by language, by a plain count."""
+    r = random.Random(6)
+    texts = [(i, " ".join("".join(r.choice("abcdeé") for _ in range(r.randrange(1, 6))) for _ in range(12)), r.choice(("de", "fr"))) for i in range(60)]
+    m = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    words, grams = {}, {}
+    for i, text, lang in texts:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in text.split():
+                words.setdefault(w, [0, 0])[lang == "fr"] += 1
+                for n in range(1, 6):
+                    for g in langid.grams_of(w, n):
+                        grams.setdefault(g, [0, 0])[lang == "fr"] += 1
+    want = langid.BackoffModel(["de", "fr"], np.exp(m.prior), dict(sorted(words.items())), dict(sorted(grams.items())))
+    assert list(m.words) == list(want.words) and np.allclose(m.table, want.table) and m.grams == want.grams and np.allclose(m.gram_table, want.gram_table)
+    long = " ".join(w for w in words) * 300
+    assert m.predict([long, "x" * 50_000])[0][0] in ("de", "fr") and len(m.table) >= len(m.words)
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(0, "der die das", "de", 1), (2, "le la les", "fr", 2), (3, "the of and", None, 3), (None, "x", "xx", 4), (4, None, "de", 5), (4, "", "de", 6)], "doc_id long, text string, lang string, n int")
     m = langid.fit(docs)
