@@ -50,8 +50,17 @@ def agreement(ours: DataFrame, theirs: DataFrame, by: str, key: str) -> DataFram
     return out.withColumns({"recall": ratio(F.col("matched"), F.col("n_theirs")), "confirmation": ratio(F.col("matched"), F.col("n_ours"))})
 
 
+def agreement_with_all(ours: DataFrame, theirs: DataFrame, groups: DataFrame, by: str, key: str) -> DataFrame:
+    """agreement where every group is held against all of theirs (key): joined on the key first, grouped after."""
+    told = theirs.select(key).distinct().withColumn("t", F.lit(1))
+    own = ours.select(by, key).distinct().join(told, key, "left").groupBy(by).agg(F.count("*").alias("n_ours"), F.count("t").alias("matched"))
+    rows = groups.select(by).distinct().join(own, by, "left").fillna(0, ["n_ours", "matched"])
+    out = rows.crossJoin(F.broadcast(told.agg(F.count("*").alias("n_theirs"))))  # one row
+    return out.select(by, "n_ours", "n_theirs", "matched", ratio(F.col("matched"), F.col("n_theirs")).alias("recall"), ratio(F.col("matched"), F.col("n_ours")).alias("confirmation"))
+
+
 def unmatched_sample(ours: DataFrame, theirs: DataFrame, by: str, key: str, k: int = 2) -> DataFrame:
-    """Per group the first k keys of theirs that we lack."""
+    """Per group the first k keys of theirs (by, key) that we lack."""
     from pyspark.sql import Window
 
     lacking = theirs.select(by, key).distinct().join(ours.select(by, key), [by, key], "left_anti")

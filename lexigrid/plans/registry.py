@@ -267,8 +267,7 @@ SELECT lang, count(a) AS n_ours, count(c) AS n_theirs, count(CASE WHEN a IS NOT
   round(count(CASE WHEN a IS NOT NULL AND c IS NOT NULL THEN 1 END) / nullif(CAST(count(a) AS DOUBLE), 0), 6) AS confirmation FROM j GROUP BY lang""")
 def recall_by_year(spark, d):
     docs = table(spark, d, "documents")
-    theirs = docs.select("lang").distinct().crossJoin(F.broadcast(_sentences(table(spark, d, "benchmark")).distinct()))  # the list of languages
-    out = qu.agreement(_sentences(docs, "lang"), theirs, "lang", "key")
+    out = qu.agreement_with_all(_sentences(docs, "lang"), _sentences(table(spark, d, "benchmark")), docs, "lang", "key")
     return out.select("lang", "n_ours", "n_theirs", "matched", r6("recall", "recall"), r6("confirmation", "confirmation"))
 
 
@@ -453,7 +452,11 @@ def year_histogram(spark, d):
     return tr.year_histogram(tm.papers(spark, d))
 
 
-@query()
+_ENTRIES = "'{{' || string_agg(to_json(category) || ':' || CAST({} AS VARCHAR), ',' ORDER BY category) || '}}'"
+
+
+@query(CELLS + f""" SELECT venue, year, '{{"venue":' || to_json(venue) || ',"year":' || year || ',"n_labeled":' || max(n) || ',"counts":' || {_ENTRIES.format("k")} || ',"shares":' || {_ENTRIES.format("100 * (k / CAST(n AS DOUBLE))")} || '}}' AS doc
+FROM cells GROUP BY venue, year""")
 def analytics_rows(spark, d):
     return tr.analytics_rows(cell_table(spark, d))
 
@@ -474,11 +477,13 @@ def cluster_summary(spark, d):
 _TERMS = "list_filter(regexp_extract_all(lower(abstract), '[a-z][a-z0-9-]{2,}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.TERM_STOP_WORDS) + "], w))"
 
 
-@query(PA + f""", t AS (SELECT leaf, unnest({_TERMS}) AS term FROM papers JOIN assigned USING (doc_id) WHERE leaf >= 0),
+_SCORED = f""", t AS (SELECT leaf, unnest({_TERMS}) AS term FROM papers JOIN assigned USING (doc_id) WHERE leaf >= 0),
 tf AS (SELECT leaf, term, count(*) AS c FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sz AS (SELECT leaf, sum(c) AS size FROM tf GROUP BY leaf),
 sc AS (SELECT leaf AS cluster, term, c AS count, c / CAST(size AS DOUBLE) * ln(1 + (SELECT count(DISTINCT leaf) FROM assigned WHERE leaf >= 0) / CAST(df AS DOUBLE)) AS score FROM tf JOIN df USING (term) JOIN sz USING (leaf)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rank FROM sc)
-SELECT cluster, term, count, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rank FROM sc)"""
+
+
+@query(PA + _SCORED + " SELECT cluster, term, count, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10")
 def ctfidf(spark, d):
     out = cl.ctfidf(tm.labelled(spark, d), "abstract")
     return out.select("cluster", "term", "count", r6("score", "score"), "rank")
@@ -518,13 +523,20 @@ def ari_two_levels(spark, d):
     return cl.adjusted_rand(tm.assignments(spark, d), "leaf", "mid").select(r6("ari", "ari"))
 
 
-@query(PA + """, r AS (SELECT leaf, doc_id, title, row_number() OVER (PARTITION BY leaf ORDER BY doc_id) AS r, greatest(1, count(*) OVER (PARTITION BY leaf) // 8) AS step FROM papers JOIN assigned USING (doc_id) WHERE leaf >= 0)
-SELECT leaf, doc_id, title, CAST((r - 1) // step AS INTEGER) AS place FROM r WHERE (r - 1) % step = 0 AND r <= step * 8""")
+_STRIDED = ", r AS (SELECT leaf, doc_id, title, row_number() OVER (PARTITION BY leaf ORDER BY doc_id) AS r, greatest(1, count(*) OVER (PARTITION BY leaf) // 8) AS step FROM papers JOIN assigned USING (doc_id) WHERE leaf >= 0)"
+
+
+@query(PA + _STRIDED + " SELECT leaf, doc_id, title, CAST((r - 1) // step AS INTEGER) AS place FROM r WHERE (r - 1) % step = 0 AND r <= step * 8")
 def strided_titles(spark, d):
     return cl.strided_titles(tm.labelled(spark, d))
 
 
-@query()
+_ASKED = cl.PROMPT.replace("'", "''").split("%s")
+
+
+@query(PA + _SCORED + _STRIDED + f""", words AS (SELECT cluster AS leaf, string_agg(term, ', ' ORDER BY rank) AS terms FROM rk WHERE rank <= 10 GROUP BY cluster),
+said AS (SELECT leaf, string_agg('- ' || title, chr(10) ORDER BY r) AS titles FROM r WHERE (r - 1) % step = 0 AND r <= step * 8 GROUP BY leaf)
+SELECT leaf, '{_ASKED[0]}' || terms || '{_ASKED[1]}' || coalesce(titles, '') || '{_ASKED[2]}' AS prompt FROM words LEFT JOIN said USING (leaf)""")
 def label_prompts(spark, d):
     p = tm.labelled(spark, d)
     return cl.prompts(cl.ctfidf(p, "abstract"), cl.strided_titles(p))
@@ -549,9 +561,16 @@ def cluster_sweep(spark, d):
     return cl.sweep(tm.assignments(spark, d), "leaf", ["mid", "mega"]).select("cut", "clusters", r6("noise", "noise"), r6("nesting", "nesting"))
 
 
-@query()
+def _ari_sql(x: str, y: str) -> str:
+    c = f"(SELECT {x} AS x, {y} AS y, CAST(count(*) AS DOUBLE) AS n FROM assigned GROUP BY ALL)"
+    return f"""SELECT '{x}' AS a, '{y}' AS b, round(coalesce((i - sa * sb / m) / nullif((sa + sb) / 2 - sa * sb / m, 0), 1), 6) AS ari FROM (SELECT
+  (SELECT sum(n * (n - 1) / 2) FROM {c}) AS i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM {c} GROUP BY x)) AS sa,
+  (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM {c} GROUP BY y)) AS sb, (SELECT sum(n) * (sum(n) - 1) / 2 FROM {c}) AS m)"""
+
+
+@query(PA + " " + " UNION ALL ".join(_ari_sql(x, y) for x, y in (("leaf", "mid"), ("leaf", "mega"), ("mid", "mega"))))
 def level_stability(spark, d):
-    return cl.seed_stability(tm.assignments(spark, d), ["leaf", "mid", "mega"])
+    return cl.seed_stability(tm.assignments(spark, d), ["leaf", "mid", "mega"]).select("a", "b", r6("ari", "ari"))
 
 
 @query()
@@ -560,10 +579,12 @@ def vocabulary_coherence(spark, d):
     return ve.purity_lift(sets, least=5)
 
 
-@query()
+@query(_KEYS + " SELECT lang, key, CAST(row_number() OVER (PARTITION BY lang ORDER BY key) AS INTEGER) AS k FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = t.lang AND o.key = t.key) QUALIFY k <= 2")
 def unmatched_keys(spark, d):
     docs = table(spark, d, "documents")
-    theirs = docs.select("lang").distinct().crossJoin(F.broadcast(_sentences(table(spark, d, "benchmark")).distinct()))  # the list of languages
+    langs = docs.select("lang").distinct()
+    langs = F.broadcast(langs) if langs.limit(1001).count() <= 1000 else langs
+    theirs = _sentences(table(spark, d, "benchmark")).distinct().crossJoin(langs)  # a row per key and language is what is ranked
     return qu.unmatched_sample(_sentences(docs, "lang"), theirs, "lang", "key")
 
 

@@ -78,6 +78,8 @@ def test_markdown(spark):
         '<figure><img src="p.png" alt="cap" loading="lazy"><figcaption>cap</figcaption></figure>\n<h2>S</h2>\n<p><a href="u" target="_blank" rel="noopener">l</a></p>'
     )
     assert text(spark, tx.markdown(F.col("s")), source) == expected
+    for line, want in (("`*x*` and **a *b* c**", "<code>*x*</code> and <strong>a <em>b</em> c</strong>"), ("2 * 3 * 4 <", "2 * 3 * 4 &lt;"), ("[a](b) `[c](d)`", '<a href="b" target="_blank" rel="noopener">a</a> <code>[c](d)</code>'), ("*open", "*open")):
+        assert text(spark, tx.inline_markdown(F.col("s")), line) == want
 
 
 def test_casefold_is_more_than_lower(spark):

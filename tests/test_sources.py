@@ -112,10 +112,27 @@ def test_release(spark, tmp_path):
     one = release.build(spark, str(base), str(tmp_path / "o1"), "2024.1", 4)
     two = release.build(spark, str(base), str(tmp_path / "o2"), "2024.1", 4)
     assert one.read_bytes() == two.read_bytes()
-    assert [f["path"] for f in release.verify(one)["files"]] == ["b.json", "n/a.bin"]
-    one.write_bytes(one.read_bytes()[:-1] + b"x")
-    with pytest.raises(ValueError):
-        release.verify(one)
+    assert [f["path"] for f in release.verify(spark, one)["files"]] == ["b.json", "n/a.bin"]
+    changed = release.build(spark, str(base), str(tmp_path / "o3"), "2024.2", 4)
+    changed.write_bytes(one.read_bytes())
+    with pytest.raises(ValueError, match="published hash"):
+        release.verify(spark, changed)
+    release.hash_file(changed).write_text(release._hash_line(changed))
+    found = {(r.path.partition(":")[0], r.fault) for r in release.faults(spark, changed).collect()}
+    assert found == {("manifest.json", "format or version"), ("not a file of this release", "unexpected")}
+    import io
+    import tarfile
+
+    with tarfile.open(one) as old, tarfile.open(two, "w:gz") as new:
+        for m in old:
+            data = old.extractfile(m).read()
+            data, m.size = (b"[]", 2) if m.name.endswith("b.json") else (data, m.size)
+            new.addfile(m, io.BytesIO(data))
+        for name in ("extra", "extra"):
+            info = tarfile.TarInfo(f"{one.name.removesuffix('.tar.gz')}/{name}")
+            new.addfile(info, io.BytesIO(b""))
+    release.hash_file(two).write_text(release._hash_line(two))
+    assert {(r.path, r.fault) for r in release.faults(spark, two).collect()} == {("b.json", "hash"), ("extra", "unexpected"), ("extra", "repeated")}
     for bad in ("", "V1", "a/b"):
         with pytest.raises(ValueError):
             release.check_version(bad)
