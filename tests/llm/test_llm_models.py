@@ -147,7 +147,7 @@ def test_network_gradient():
     step = [b - w for b, w in zip(before, net.weights(), strict=True)]
     for w, b in zip(net.weights(), before, strict=True):
         w[...] = b
-    for w, g, at in ((net.bias, step[2], (1,)), (net.out, step[1], (0, 3)), (net.embed, step[0], (1, 4, 2))):
+    for w, g, at in ((net.group_bias, step[2], (1,)), (net.group, step[1], (0, 1)), (net.bias, step[4], (0, 1)), (net.out, step[3], (1, 0, 0)), (net.embed, step[0], (1, 4, 2))):
         w[at] += 1e-2
         up = loss()
         w[at] -= 2e-2
@@ -180,7 +180,7 @@ def test_scores_follow_context(spark):
     for i in range(150):
         a = r.randrange(30)
         texts[i] = " ".join(cycle[(a + k) % 30] for k in range(60))
-    model = lmscore.fit(frame(spark, texts), stride=1)
+    model = lmscore.fit(frame(spark, texts))
     mixed = {i: " ".join(r.sample(t.split(), 60)) for i, t in texts.items()}
     mean = lambda d: np.mean([x.mean_log_likelihood for x in lmscore.score(frame(spark, d), model).collect()])
     assert mean(texts) > mean(mixed) + 0.5
@@ -222,11 +222,43 @@ def test_score_equals_the_sum_over_tokens(spark):
     for i, c in enumerate(classes):
         near = [classes[i + k] if 0 <= i + k < len(classes) else words.size for k in (-2, -1, 1, 2)]
         h = np.tanh(sum(net.embed[j, n] for j, n in enumerate(near)))
-        z = h @ net.out + net.bias
-        total += z[c] - np.log(np.exp(z).sum()) + shares[i]
+        g = c // net.side
+        z, y = h @ net.group + net.group_bias, (h @ net.out[g] + net.bias[g])[: net.places(g)]
+        total += z[g] - np.log(np.exp(z).sum()) + y[c % net.side] - np.log(np.exp(y).sum()) + shares[i]
     assert got[1].log_likelihood == pytest.approx(total, abs=1e-3) and got[1].mean_log_likelihood == pytest.approx(total / 6, abs=1e-3)
 
 
+def test_partitions_do_not_change_a_model(spark):
+    r = random.Random(7)
+    rows = [(i % 90, " ".join(f"w{min(int(r.expovariate(0.03)), 300)}" for _ in range(r.randrange(1, 400)))) for i in range(100)] + [(None, "w1 w2 w3"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda x: (x.doc_id is None, x.doc_id or 0, x.n_tokens, round(x.log_likelihood))
+    got = []
+    for n in (1, 4, 32):
+        dealt = docs.repartition(n, "text")
+        got.append(sorted(lmscore.score(docs, lmscore.fit(dealt)).collect(), key=key))
+    for other in got[1:]:
+        for a, b in zip(got[0], other, strict=True):
+            assert (a.doc_id, a.n_tokens) == (b.doc_id, b.n_tokens) and a.log_likelihood == pytest.approx(b.log_likelihood, rel=1e-4)
+
+
+def test_copies_score_above_their_shuffled_words(spark):
+    """Documents that recur in a corpus are told from the same words in another order."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    some = [" ".join(r.choice(words) for _ in range(60)) for _ in range(8)]
+    texts = dict(enumerate([*some * 40, *(" ".join(r.choice(words) for _ in range(60)) for _ in range(100))]))
+    model = lmscore.fit(frame(spark, texts))
+    probe = dict(enumerate([*some, *(" ".join(r.sample(t.split(), 60)) for t in some)]))
+    got = {x.doc_id: x.log_likelihood for x in lmscore.score(frame(spark, probe), model).collect()}
+    assert all(got[i] > got[i + 8] for i in range(8))
+
+
+def test_classes_grow_with_the_vocabulary(spark):
+    few, many = (lmscore.lexicon(frame(spark, {0: " ".join(f"w{i}" for i in range(n))})) for n in (50, 90_000))
+    assert few.buckets == 32 and many.size == 300 and many.n == 225 and many.tokens == 90_000
+
+
 def test_likelihood_edges(spark):
     empty = frame(spark, {1: None, 2: ""})
     assert lmscore.fit(empty) is None
