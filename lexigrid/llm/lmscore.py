@@ -47,7 +47,7 @@ WIDTH, SPAN, LEAST_CLASSES = 16, 2, 128
 #: Words whose shares are broadcast (the others' are joined), and documents that start the network.
 VOCABULARY, SAMPLE = 60_000, 400
 #: Rounds of training, and the tokens of which the number of shards is the square root of the count.
-ROUNDS, SHARD_TOKENS = 2, 200_000
+ROUNDS, SHARD_TOKENS = 2, 50_000
 _U, _UNIT, _PART = np.uint64, 1 << 32, 4096
 
 
@@ -93,10 +93,12 @@ class WindowNetwork:
         out[order] = got
         return out
 
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float = 0.5, batch: int = 1024) -> None:
-        """One pass of stochastic gradient steps."""
-        width = self.embed.shape[2]
-        for i in range(0, len(target), batch):
+    def train(self, around: np.ndarray, target: np.ndarray, rate: float = 0.4, batch: int = 256, most: int = 4096, seen: int = 0) -> None:
+        """One pass of stochastic gradient steps. Batches grow from ``batch`` to ``most`` with the tokens seen, the rate with their square root."""
+        width, first_batch, first_rate, i = self.embed.shape[2], batch, rate, 0
+        while i < len(target):
+            batch = min(most, max(first_batch, (seen + i) // 64))
+            rate = first_rate * max(1.0, batch / 1024) ** 0.5
             order, slices = self._by_group(target[i : i + batch])
             a, t = around[i : i + batch][order], target[i : i + batch][order]
             h = self.hidden(a)
@@ -116,6 +118,7 @@ class WindowNetwork:
                 near = a[by, k]
                 first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
                 self.embed[k][near[first]] -= np.add.reduceat(back[by], first, axis=0).reshape(-1, width)
+            i += batch
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -262,7 +265,7 @@ def _trainer(shared, edge: int):
             nonlocal seen, held
             counts = np.array([len(x) // 4 for x in held])
             classes = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-            net.train(neighbours(classes, counts, net.span, edge), classes, rate=0.4)
+            net.train(neighbours(classes, counts, net.span, edge), classes, seen=seen)
             seen, held = seen + len(classes), []
 
         def finished() -> Iterator[pa.RecordBatch]:
@@ -312,11 +315,11 @@ def fit(docs: DataFrame, common: int | None = None, vocabulary: int = VOCABULARY
         counts = np.array([len(x) // 4 for x in first])
         classes = np.frombuffer(b"".join(first), "<u4").astype(np.int64)
         around, take = neighbours(classes, counts, net.span, words.size), np.random.default_rng(3).permutation(len(classes))
-        net.train(around[take], classes[take], batch=256)
+        net.train(around[take], classes[take], most=256)
     shards = rounds * max(1, round((words.tokens / SHARD_TOKENS) ** 0.5 / rounds))
     dealt = made.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int"))
     for r in range(rounds):
-        mine = dealt.filter(F.col("shard") % rounds == r).repartition(max(1, shards // rounds), "shard").sortWithinPartitions("shard", "key", "classes").select("shard", "classes")
+        mine = dealt.filter(F.col("shard") % rounds == r).repartitionByRange(max(1, shards // rounds), "shard").sortWithinPartitions("shard", "key", "classes").select("shard", "classes")
         trained = mine.mapInArrow(tidy(_trainer(spark.sparkContext.broadcast(net), words.size)), "part int, shard int, w array<double>, n double").groupBy("part").applyInArrow(_averaged, "part int, w array<double>")
         parts = trained.orderBy("part").toArrow()["w"].combine_chunks()  # one number per weight
         flat, at = np.array(parts.flatten()), 0

@@ -143,7 +143,7 @@ def test_network_gradient():
     around, target = np.array([[0, 4], [5, 2]]), np.array([3, 1])
     loss = lambda: -float(net.log_probs(around, target).astype(float).mean())
     before = [w.copy() for w in net.weights()]
-    net.train(around, target, rate=1.0, batch=2)
+    net.train(around, target, rate=1.0)
     step = [b - w for b, w in zip(before, net.weights(), strict=True)]
     for w, b in zip(net.weights(), before, strict=True):
         w[...] = b
