@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.stats import pairs_of, ratio
 from lexigrid.functions.text import TITLE_PATTERN, TITLE_STOP_WORDS, terms
+from lexigrid.runtime import placed
 
 # The two families of venues.
 LANGUAGE_VENUES, LEARNING_VENUES = ["acl", "emnlp", "naacl"], ["neurips", "icml", "iclr"]
@@ -91,10 +92,8 @@ def adjusted_rand(assigned: DataFrame, a: str, b: str) -> DataFrame:
 def strided_titles(docs: DataFrame, label: str = "leaf", k: int = 8, order: str = "doc_id") -> DataFrame:
     """k titles of each cluster at even steps, the step being its size divided by k (1 at least)."""
     rows = docs.filter(F.col(label) >= 0)
-    n = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
-    placed = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(order))).join(n, label).withColumn("_step", step)
-    return placed.filter(((F.col("_r") - 1) % F.col("_step") == 0) & (F.col("_r") <= F.col("_step") * k)).select(label, order, "title", ((F.col("_r") - 1) / F.col("_step")).cast("int").alias("place"))
+    spots = placed(rows.select(label, order, "title"), label, order).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / k)))
+    return spots.filter((F.col("_p") % F.col("_step") == 0) & (F.col("_p") < F.col("_step") * k)).select(label, order, "title", (F.col("_p") / F.col("_step")).cast("int").alias("place"))
 
 
 PROMPT = "Name the topic of a group of research papers in four to eight words, specific and technical, without quotation marks.\n\nIts distinguishing terms, the most distinctive first:\n%s\n\nSome of its titles:\n%s\n\nAnswer with the name alone."

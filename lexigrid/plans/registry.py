@@ -628,7 +628,7 @@ def _keyword_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(PA + """, s AS (SELECT doc_id AS id, leaf AS cluster, keywords FROM papers JOIN assigned USING (doc_id) WHERE leaf >= 0 AND len(keywords) > 0),
-p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) - 1 AS p, count(*) OVER (PARTITION BY cluster) AS n FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS p, count(*) OVER (PARTITION BY cluster) AS n FROM s),
 e AS (SELECT a.cluster, a.n, a.keywords AS a, b.keywords AS b FROM p a CROSS JOIN range(1, 21) t(k) JOIN p b ON b.cluster = a.cluster AND b.p = (a.p + k) % a.n WHERE k <= a.n // 2 AND (k * 2 <> a.n OR a.p < k))
 SELECT cluster, count(*) AS pairs, round(avg(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE)), 6) AS purity, any_value(n) AS size FROM e GROUP BY cluster""")
 def cluster_purity(spark, d):

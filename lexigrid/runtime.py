@@ -9,13 +9,17 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[1])
 #: Bytes of an Arrow batch between the JVM and Python, of which each task holds a few.
 BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Bytes of vectors in a block of queries; the rows that one is held against are up to four times as much.
+BLOCK_BYTES = 8 << 20
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -67,3 +71,37 @@ def tidy(run: Callable[[Batches], Batches], forget: Callable[[], None] | None =
                 pass  # not glibc
 
     return tidied
+
+
+def crossed(asked: DataFrame, rows: DataFrame, by: str, dim: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What run gives for every block of ``asked`` (dealt by the column ``by``) with every block of ``rows`` (dealt by id).
+
+    Vectors of ``dim`` doubles make blocks of bounded bytes, each pair of blocks is a
+    cell of one shuffle, and nothing passes the driver: executors' memory does not
+    grow with the tables, while the shuffled bytes do with the number of cells.
+    """
+    size = max(1, block_bytes // (8 * max(1, dim)))
+    n = rows.count()
+    blocks = max(1, -(-asked.count() // size))
+    parts = max(1, -(-n // (4 * size)), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 256)))
+    dealt = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = asked.withColumn("_q", dealt(by, blocks)).withColumn("_p", each(parts)).withColumn("_q", F.col("_q").cast("int"))
+    right = rows.withColumn("_p", dealt("id", parts).cast("int")).withColumn("_q", each(blocks))
+    return left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInArrow(run, schema)
+
+
+def placed(rows: DataFrame, group: str, *order: str | Column) -> DataFrame:
+    """rows with _p, the place in their group by ``order`` (from 0), and _n, the group's size; rows whose group is null go.
+
+    Rows are sorted by ranges of (group, order), so that a large group is dealt over
+    many tasks: a row's place is that in its range, plus its group's rows before it.
+    """
+    prepare(rows.sparkSession)
+    spread = rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = spread.groupBy("_part", group).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group)
+    before = F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", group, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)) - 1
+    return spread.withColumn("_p", inside).join(starts, ["_part", group]).withColumn("_p", F.col("_p") + F.col("_before")).drop("_part", "_before")

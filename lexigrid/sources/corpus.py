@@ -32,7 +32,8 @@ def scan_unique(spark: SparkSession, root: str, key: str = "paper_id") -> DataFr
 def write_partitioned(papers: DataFrame, root: str) -> None:
     """Papers by venue and year, in the declared schema; only partitions that occur are replaced."""
     cut = papers.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PAPER.fields))
-    cut.repartition("venue", "year").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("venue", "year").parquet(root)
+    # by ranges, so that a venue's year of many papers is dealt over tasks, and small ones share one
+    cut.repartitionByRange("venue", "year", "paper_id").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("venue", "year").parquet(root)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
