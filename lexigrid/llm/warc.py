@@ -1,7 +1,8 @@
 """WARC archives: a writer that marks revisits, and a reader that salvages damaged files.
 
 Writing: one record per page, each a gzip member of its own, through Spark's text
-sink, so files appear by its committer and a lost task leaves nothing behind. The
+sink, so files appear by its committer and a lost task leaves nothing behind. A
+task numbers its files by the bytes written so far (the folders volume=N). The
 sink ends every line with a separator; a member's last byte (the top byte of its
 length, 0 below 16 MB) serves as that, and a longer record is cut into several
 members. Records of equal payload are found by digest: the one of the smallest
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from .runtime import maybe_broadcast, prepare, tidy
 
 BROADCAST_ROWS = 500_000
-RECORDS_PER_FILE = 4_000
+#: A file ends at the first of these; only a record that is larger makes a larger file.
+RECORDS_PER_FILE, FILE_BYTES = 4_000, 64 << 20
 _MEMBER = 1 << 24
 _DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
@@ -85,8 +87,8 @@ def members(record: bytes) -> bytes:
     return b"".join(out)
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write page_id, url and html of every row to WARC files in folder."""
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write page_id, url and html of every row to WARC files below folder."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     named = rows.filter(F.octet_length("html") >= least_bytes).select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size"))
@@ -100,13 +102,21 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, records_
     ).select("k.page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume = size = 0
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([members(_record(r["page_id"], r["url"], r["html"].encode(), r["first"], r["first"] is not None))[:-1] for r in part], pa.binary())], names=["record"])
+                volumes, records = [], []
+                for r in batch.slice(i, 64).to_pylist():
+                    data = members(_record(r["page_id"], r["url"], r["html"].encode(), r["first"], r["first"] is not None))
+                    if size and size + len(data) > file_bytes:
+                        volume, size = volume + 1, 0
+                    size += len(data)
+                    volumes.append(volume)
+                    records.append(data[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(records, pa.binary())], names=["volume", "record"])
 
-    made = marked.mapInArrow(tidy(run), "record binary")
-    made.select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).mode("overwrite").text(folder)
+    made = marked.mapInArrow(tidy(run), "volume int, record binary").select("volume", F.col("record").cast("string").alias("record"))
+    made.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).mode("overwrite").partitionBy("volume").text(folder)
 
 
 @dataclass
@@ -256,7 +266,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(tidy(run), READ_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(folder).select("path", "content").mapInArrow(tidy(run), READ_SCHEMA)
 
 
 def _fields(x: Found, payloads: bool) -> dict:

@@ -156,6 +156,16 @@ def test_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, "u", "".join(chr(r.randrange(33, 500)) for _ in range(60_000 if i == 7 else 2_000)), None) for i in range(60)]
+    folder = written(spark, tmp_path, rows, file_bytes=20_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").rglob("part-*"))
+    assert len(sizes) > 5 and sizes[-1] > 20_000 and sizes[-2] <= 20_000
+    got = {x.page_id: x.payload.decode() for x in warc.read_archives(spark, folder).collect()}
+    assert got == {x[0]: x[2] for x in rows}
+
+
 def archive(n=40):
     r = random.Random(1)
     return [warc._record(i, f"http://x/{i}", bytes(r.randrange(256) for _ in range(r.randrange(300))), None, False) for i in range(n)]
