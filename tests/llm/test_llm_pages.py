@@ -271,6 +271,17 @@ def test_error_bounds_hold():
     assert (np.abs(guess - q @ x.T) <= bound).mean() > 0.999 and np.abs((guess - q @ x.T).mean()) < 0.1
 
 
+@pytest.mark.parametrize("dim", [1, 13, 64])
+def test_tables_of_bytes_add_what_the_signs_do(dim):
+    r = np.random.default_rng(2)
+    x, q = r.standard_normal((300, dim)), r.standard_normal((7, dim))
+    center, rotate = x.mean(0), ann.rotation(dim)
+    codes, length, lost = ann.encode(x, center, rotate)
+    signs = np.where((x - center) @ rotate.T > 0, 1, -1) / np.sqrt(dim)
+    want = (q @ rotate.T) @ signs.T * (length / lost) + (q @ center)[:, None]
+    assert np.allclose(ann.estimate(codes, length, lost, q @ center, q, center, rotate)[0], want, atol=1e-4)
+
+
 def test_vector_edges(spark):
     same = [(i, [1.0, 0.0]) for i in range(0, 60)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [None, 1.0]), (180, [1.0]), (None, [1.0, 0.0]), (0, [1.0, 0.0]), (200, [float("inf"), 1.0]), (220, [])]
