@@ -50,6 +50,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    return 1 - cosine(a, b)
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounded on the scaled value, halves to the even neighbour, as NumPy and pandas do."""
+    scale = 10.0**digits
+    return F.rint(x * scale) / scale
+
+
 def pairs_of(n: Column) -> Column:
     """n choose 2."""
     return n.cast("double") * (n.cast("double") - 1) / 2

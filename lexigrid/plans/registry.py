@@ -717,11 +717,6 @@ def term_counts(spark, d):
     return tm.papers(spark, d).select("doc_id", F.size(tx.terms(F.col("abstract"))).cast("long").alias("n_terms"))
 
 
-@query()
-def title_keys(spark, d):
-    return tm.papers(spark, d).select("doc_id", tx.title_key(F.col("title")).alias("key"))
-
-
 @query()
 def file_checksums(spark, d):
     from lexigrid.sources.release import checksums
@@ -734,3 +729,6 @@ def cache_inventory(spark, d):
     """Raw objects with their sizes and hashes, as the cache lists them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("part"), "length", F.sha2("content", 256).alias("sha256")).filter(~F.col("part").endswith(".meta.json")).orderBy("part")
+
+
+from lexigrid.plans import fields  # noqa: E402, F401  registers its queries, and needs query() from here

@@ -106,6 +106,16 @@ def inner_text(markup: Column) -> Column:
     return tx.clean_markup(markup)
 
 
+_ASIDE = r"<!\[CDATA\[(?:(?!\]\]>)[\s\S])*+\]\]>|<!--(?:(?!-->)[\s\S])*+-->|<\?(?:(?!\?>)[\s\S])*+\?>"
+
+
+def plain_xml(xml: Column) -> Column:
+    """XML without comments and processing instructions, its CDATA sections as escaped text, so that a tag is one wherever it stands."""
+    inner = lambda x: F.substr(x, F.lit(10), F.length(x) - 12)
+    asides = F.transform(F.regexp_extract_all(xml, F.lit(_ASIDE), F.lit(0)), lambda x: F.when(x.startswith("<![CDATA["), tx.escape_html(inner(x))).otherwise(""))
+    return F.array_join(F.zip_with(F.split(xml, _ASIDE, -1), F.concat(asides, F.array(F.lit(""))), lambda between, aside: F.concat(between, aside)), "")
+
+
 def _elements(xml: Column, tag: str) -> Column:
     """The elements of a tag, as text; tags of this name do not nest in these files."""
     return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0))
@@ -121,7 +131,7 @@ def anthology_papers(collections: DataFrame) -> DataFrame:
 
     Entries without a page range that starts with a digit are front matter.
     """
-    volumes = collections.select("venue", "year", "collection", "main_volumes", F.explode(_elements(F.col("xml"), "volume")).alias("v"))
+    volumes = collections.select("venue", "year", "collection", "main_volumes", F.explode(_elements(plain_xml(F.col("xml")), "volume")).alias("v"))
     volumes = volumes.withColumn("volume", F.regexp_extract("v", r'<volume[^>]*\sid="([^"]*)"', 1)).filter(F.array_contains("main_volumes", F.col("volume")))
     rows = volumes.select("*", F.explode(_elements(F.col("v"), "paper")).alias("p")).filter(tx.text_of(_inner(F.col("p"), "pages")).rlike(r"^\s*\d"))
     place = F.array_position("main_volumes", F.col("volume"))
@@ -143,6 +153,6 @@ def anthology_papers(collections: DataFrame) -> DataFrame:
 
 def dblp_titles(files: DataFrame) -> DataFrame:
     """Title keys of contributions (venue, year, xml); the proceedings entry itself is front matter."""
-    rows = files.select("venue", "year", F.explode(_elements(F.col("xml"), "inproceedings")).alias("p"))
+    rows = files.select("venue", "year", F.explode(_elements(plain_xml(F.col("xml")), "inproceedings")).alias("p"))
     title = F.regexp_replace(inner_text(_inner(F.col("p"), "title")), r"\.+$", "")
     return rows.select("venue", "year", title.alias("title")).withColumn("key", tx.title_key(F.col("title")))

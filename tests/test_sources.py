@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrid.functions import stats
 from lexigrid.schema import PAPER
 from lexigrid.sources import corpus, records, release
 from lexigrid.streaming import ingest
@@ -51,6 +52,25 @@ def test_anthology_and_index(spark):
     assert [r.key for r in records.dblp_titles(dblp).collect()] == ["a b c"]
 
 
+def test_xml_asides(spark):
+    cases = {
+        "<t><![CDATA[a < b & </t>]]></t>": "<t>a &lt; b &amp; &lt;/t&gt;</t>",
+        "<t>x<!-- </t> <![CDATA[ -->y</t>": "<t>xy</t>",
+        "<?xml version='1.0'?><t><![CDATA[<!-- kept -->]]><![CDATA[]]>z</t>": "<t>&lt;!-- kept --&gt;z</t>",
+        "<t>none</t>": "<t>none</t>", "": "", None: None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "xml string, want string")
+    assert [(r.got, r.want) for r in df.select(records.plain_xml(F.col("xml")).alias("got"), "want").collect() if r.got != r.want] == []
+    long = spark.range(1).select(F.concat(F.lit("<t><!--"), F.repeat(F.lit("x "), 200_000), F.lit("-->k</t>")).alias("xml"))
+    assert long.select(records.plain_xml(F.col("xml"))).first()[0] == "<t>k</t>"
+
+
+def test_half_even(spark):
+    df = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,), (2.675,), (None,)], "x double")
+    assert [r[0] for r in df.select(stats.half_even(F.col("x"))).collect()] == [0.0, 2.0, 2.0, 0.0, 3.0, None]
+    assert [r[0] for r in df.select(stats.half_even(F.col("x"), 2)).collect()][:5] == [float(v) for v in np.round([0.5, 1.5, 2.5, -0.5, 2.675], 2)]
+
+
 def test_partitioned_write_and_scan(spark, tmp_path):
     papers = records.as_papers(spark.createDataFrame([("a:1:x", "a", 1), ("b:2:y", "b", 2)], "paper_id string, venue string, year int"))
     root = str(tmp_path / "n")
