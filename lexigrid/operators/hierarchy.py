@@ -53,3 +53,8 @@ def topic_tree(named: DataFrame) -> DataFrame:
     """Numbers of papers of every node of the tree mega > mid > leaf; a node's lower levels are null."""
     tree = named.rollup("mega_name", "mid_name", "leaf_name").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     return tree.withColumn("depth", F.when(F.col("g") == 7, 0).when(F.col("g") == 3, 1).when(F.col("g") == 1, 2).otherwise(3)).drop("g")
+
+
+def without_repeats(tree: DataFrame, label: str) -> DataFrame:
+    """The tree less leaves of a catch-all name under a middle node of that name, which lead nowhere; counts above them stay."""
+    return tree.filter(~((F.col("depth") == 3) & (F.col("mid_name") == label) & (F.col("leaf_name") == label)))

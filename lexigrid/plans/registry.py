@@ -232,13 +232,21 @@ def orphan_remap(spark, d):
     return hi.remap_orphans(tm.assignments(spark, d)).select("doc_id", "leaf", "mid", "mega")
 
 
-@query(_NAMES + """ SELECT mega_name, mid_name, leaf_name, count(*) AS n,
+_TREE = """SELECT mega_name, mid_name, leaf_name, count(*) AS n,
   CASE grouping(mega_name) + grouping(mid_name) + grouping(leaf_name) WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS depth
-FROM named GROUP BY ROLLUP (mega_name, mid_name, leaf_name)""")
+FROM named GROUP BY ROLLUP (mega_name, mid_name, leaf_name)"""
+
+
+@query(_NAMES + " " + _TREE)
 def topic_tree(spark, d):
     return hi.topic_tree(_named(spark, d))
 
 
+@query(_NAMES + f" SELECT * FROM ({_TREE}) WHERE depth < 3 OR mid_name <> 'Unclustered' OR leaf_name <> 'Unclustered'")
+def topic_tree_pruned(spark, d):
+    return hi.without_repeats(hi.topic_tree(_named(spark, d)), hi.UNCLUSTERED)
+
+
 @query("""SELECT doc_id AS id, 'left' AS only_in FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
 UNION ALL SELECT vec_id, 'right' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""")
 def id_set_mismatch(spark, d):
