@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import maybe_broadcast, prepare, tidy
+from .runtime import maybe_broadcast, prepare, settled, tidy
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 26, 5, 5, 0.8
 #: Signature components, and bits of each in a sketch of WORDS long integers. Pairs whose estimate is above
@@ -201,14 +201,14 @@ class _Names:
         self.extra = self.twice = None
         if not signed.groupBy("own").count().filter("count > 1").limit(1).count():
             return
-        told = signed.groupBy("own", "text_hash").agg(F.count("*").alias("n")).checkpoint()
+        told = settled(signed.groupBy("own", "text_hash").agg(F.count("*").alias("n")))
         main = told.groupBy("own").agg(F.min("text_hash").alias("main"), F.count("*").alias("texts")).filter("texts > 1").select("own", "main")
         more = told.join(main, "own").filter("text_hash <> main").select("own", "text_hash")
         low, high = signed.agg(F.min("own"), F.max("own")).first()
         number = F.monotonically_increasing_id()
         key = F.lit(high + 1) + number if high < 1 << 62 else F.lit(low - 1) - number
-        self.extra = more.withColumn("key", key).checkpoint()
-        self.twice = self.keyed(told.filter("n > 1")).select("doc_id").checkpoint()
+        self.extra = settled(more.withColumn("key", key))
+        self.twice = settled(self.keyed(told.filter("n > 1")).select("doc_id"))
 
     def keyed(self, rows: DataFrame) -> DataFrame:
         """rows (own, text_hash, ...) with doc_id, their key."""
@@ -234,9 +234,10 @@ def verified(pairs: DataFrame, docs: DataFrame, names: _Names, shingle: int, thr
 
     A text b of many pairs is copied to SALT pairs each, so that no task gets all of them.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct().checkpoint()
-    one = names.once(names.texts(docs).join(maybe_broadcast(ids, BROADCAST_IDS), "doc_id", "left_semi"))
-    hot = maybe_broadcast(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("copies")).filter("copies > 1").checkpoint(), BROADCAST_IDS)
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("as_b")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("as_b")))).alias("x")).select("x.*")
+    ids = settled(sides.groupBy("doc_id").agg(F.ceil(F.sum("as_b") / SALT).cast("int").alias("copies")))
+    one = names.once(names.texts(docs).join(maybe_broadcast(ids.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi"))
+    hot = maybe_broadcast(ids.filter("copies > 1").select(F.col("doc_id").alias("b"), "copies"), BROADCAST_IDS)
     left = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(hot, "b", "left")
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
@@ -248,18 +249,19 @@ def verified(pairs: DataFrame, docs: DataFrame, names: _Names, shingle: int, thr
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of the nodes of edges (a, b), by alternating large and small stars.
 
-    Every round is a grouped minimum and a join, and is cut by a checkpoint. A node
+    Every round is two grouped minima, each with a join, and is cut by a checkpoint. A node
     that is the smallest of its component has no row.
     """
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    edges = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _are_stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        down, up, self = (F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("uv", "vu", "uu"))
+        both = edges.select(F.explode(F.array(down, up)).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v")))
+        # u > v in every edge: a node's larger neighbours take its smallest one, and so does the node itself where it has smaller ones.
+        large = edges.select(F.explode(F.array(up, self)).alias("e")).select("e.*").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array_distinct(F.array("u", "v"))).alias("u"), F.col("m").alias("v"))
-        edges = small.filter("u <> v").distinct().checkpoint()
+        edges = settled(small.filter("u <> v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -278,24 +280,24 @@ def _merged(joined: DataFrame | None, links: DataFrame) -> DataFrame:
         links = links.join(joined.select(F.col("node").alias(x), "component"), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
     new = components(links)
     moved = joined.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return moved.unionByName(new.join(joined.select("node"), "node", "left_anti")).checkpoint()
+    return settled(moved.unionByName(new.join(joined.select("node"), "node", "left_anti")))
 
 
 def _grouped(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, list[DataFrame], _Names]:
     """Every document (doc_id, own, text_hash, n, component, n_links), the verified links (a, b, sim) and the documents' names."""
     prepare(docs.sparkSession)
     sketch = [f"s{k}" for k in range(WORDS)]
-    signed = signatures(docs, shingle, bands, rows).checkpoint()
+    signed = settled(signatures(docs, shingle, bands, rows))
     names = _Names(signed)
     signed = names.once(names.keyed(signed))
     if names.twice is not None:
-        signed = signed.checkpoint()
+        signed = settled(signed)
     keyed = signed.select("doc_id", "own", "text_hash", "n", "key_a", "key_b")
-    copies = keyed.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
+    copies = settled(keyed.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep")))
     reps = signed.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     spread = reps.select("rep", "n", F.posexplode("buckets").alias("band", "bucket"))
     centers = spread.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    shared = spread.join(centers.select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "bucket").checkpoint()
+    shared = settled(spread.join(centers.select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "bucket"))
     least = most_different(threshold, SIGMAS)
 
     def near_in_size(m: str, n: str) -> Column:
@@ -303,17 +305,17 @@ def _grouped(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
 
     stars = shared.filter("rep <> center").filter(near_in_size("n", "center_n")).select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     one, two = (reps.select(F.col("rep").alias(x), F.struct(*sketch).alias(f"{x}s")) for x in ("a", "b"))
-    stars = stars.join(one, "a").join(two, "b").filter(_near("as", "bs", -1, least)).select("a", "b").checkpoint()
-    links = [verified(stars, docs, names, shingle, threshold).checkpoint()]
+    stars = settled(stars.join(one, "a").join(two, "b").filter(_near("as", "bs", -1, least)).select("a", "b"))
+    links = [settled(verified(stars, docs, names, shingle, threshold))]
     joined = _merged(None, links[0].select("a", "b"))
     # Members of a bucket that did not meet are compared with all that lie in another class, the likely pairs first.
     likely = most_different(threshold - MARGIN, 0)
     for more, most in ((-1, likely), (likely, least)):
-        new = verified(_across(shared, joined, reps, sketch, more, most, near_in_size), docs, names, shingle, threshold).checkpoint()
+        new = settled(verified(_across(shared, joined, reps, sketch, more, most, near_in_size), docs, names, shingle, threshold))
         if not new.isEmpty():
             joined = _merged(joined, new.select("a", "b"))
             links.append(new)
-    classes = copies.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("component")).checkpoint()
+    classes = settled(copies.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("component")))
     texts = classes.groupBy("component").agg((F.count("*") - 1).alias("n_links")).filter("n_links > 0")
     classes = classes.join(maybe_broadcast(texts, BROADCAST_IDS), "component", "left")
     out = keyed.join(classes, ["key_a", "key_b", "n"], "left")
@@ -356,13 +358,15 @@ def _across(shared: DataFrame, joined: DataFrame, reps: DataFrame, sketch: list[
     named = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "rep").alias("main")).filter("low <> high").select("bucket", "main")
     inside = named.join(mixed, "bucket").select("bucket", "band", "rep", "n", "component", "center", (F.col("component") == F.col("main")).alias("is_main"))
-    inside = inside.join(reps.select("rep", F.struct(*sketch).alias("s"), "buckets"), "rep").checkpoint()
+    inside = settled(inside.join(reps.select("rep", F.struct(*sketch).alias("s"), "buckets"), "rep"))
     minor = inside.filter("not is_main and rep <> center").select("bucket", "band", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("comp_x"), F.col("center").alias("center_x"), F.col("s").alias("sx"), F.col("buckets").alias("buckets_x"))
     other = inside.select("bucket", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("comp_y"), F.col("is_main").alias("main_y"), F.col("s").alias("sy"), F.col("buckets").alias("buckets_y"))
     # A pair comes from the first bucket that it shares; there it may be seen from both sides.
     before = F.arrays_overlap(F.slice("buckets_x", F.lit(1), F.col("band")), F.slice("buckets_y", F.lit(1), F.col("band")))
     meet = minor.join(other, "bucket").filter("comp_x <> comp_y and y <> center_x and (main_y or x > y)").filter(near_in_size("n_x", "n_y")).filter(_near("sx", "sy", more, most)).filter(~before)
-    return meet.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).checkpoint()
+    found = settled(meet.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+    # Where Spark has split a hot bucket, the pairs lie in many small parts, each of which would be a task of every later shuffle.
+    return found.coalesce(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -373,7 +377,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     without a doc_id stay.
     """
     found, _, names = _grouped(docs, THRESHOLD, SHINGLE, BANDS, ROWS)
-    gone = found.filter("doc_id <> component").select(F.col("own").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    gone = maybe_broadcast(settled(found.filter("doc_id <> component").select(F.col("own").alias("gone_id"), F.col("text_hash").alias("gone_hash"))), BROADCAST_IDS)
     same = docs["doc_id"].cast("long") == gone["gone_id"]
     if names.extra is None:
         return docs.join(gone, same, "left_anti")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid import runtime
-from lexigrid.runtime import prepare, shared_dir
+from lexigrid.runtime import prepare, settled, shared_dir
 
 from . import textkernel
 
-__all__ = ["maybe_broadcast", "prepare", "shared_dir", "small_enough", "table", "tidy"]
+__all__ = ["maybe_broadcast", "prepare", "settled", "shared_dir", "small_enough", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

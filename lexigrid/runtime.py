@@ -54,6 +54,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint, after which the shuffles that led to it leave the executors' disks.
+
+    Spark removes the files of a shuffle (and of a checkpoint, where the session cleans
+    those) only after the driver's garbage collector has met it without a reference, and
+    a driver with memory to spare seldom collects: an operator of many joins would keep
+    the files of all of them.
+    """
+    out = df.checkpoint()
+    del df  # its plan refers to the shuffles
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def tidy(run: Callable[[Batches], Batches], forget: Callable[[], None] | None = None) -> Callable[[Batches], Batches]:
     """run, after which its worker returns what it no longer needs; workers live on and serve other operators."""
 
