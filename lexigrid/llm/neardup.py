@@ -234,8 +234,8 @@ def verified(pairs: DataFrame, docs: DataFrame, names: _Names, shingle: int, thr
 
     A text b of many pairs is copied to SALT pairs each, so that no task gets all of them.
     """
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("as_b")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("as_b")))).alias("x")).select("x.*")
-    ids = settled(sides.groupBy("doc_id").agg(F.ceil(F.sum("as_b") / SALT).cast("int").alias("copies")))
+    sides = pairs.groupBy(F.col("a").alias("doc_id")).agg(F.lit(0).cast("long").alias("n")).unionByName(pairs.groupBy(F.col("b").alias("doc_id")).agg(F.count("*").alias("n")))
+    ids = settled(sides.groupBy("doc_id").agg(F.ceil(F.sum("n") / SALT).cast("int").alias("copies")))
     one = names.once(names.texts(docs).join(maybe_broadcast(ids.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi"))
     hot = maybe_broadcast(ids.filter("copies > 1").select(F.col("doc_id").alias("b"), "copies"), BROADCAST_IDS)
     left = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
