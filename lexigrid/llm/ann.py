@@ -10,7 +10,7 @@ vectors whose upper bound reaches the query's twentieth best exact product so
 far are reranked by exact products on the original vectors, in double precision.
 
 The index (codes, scalars and vectors) is written once in the shared folder.
-Blocks of queries meet blocks of the index in the cells of one job; each cell
+Blocks of queries meet blocks of the index in the tasks of one job; each
 keeps its best per query. No vector or query passes the driver.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite
@@ -151,6 +151,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sigmas: float = SIG
     """query_id, rank, vec_id and score: the k nearest found of each row whose id is divisible by ``every``."""
     index, center, rotate = build_index(vectors, seed)
     asked = index.filter(F.col("id") % every == 0).select("id", "vec")
-    found = crossed(asked, index, "id", len(center), _cell(k, center, rotate, sigmas), "query_id long, vec_id long, score double", block_bytes)
+    found = crossed(asked, index, len(center), _cell(k, center, rotate, sigmas), "query_id long, vec_id long, score double", block_bytes)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -24,3 +24,21 @@ def spark(tmp_path_factory):
 
 
 SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def shuffled(spark):
+    """How many rows the stages that f runs write to shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    def count(f):
+        before = stages()
+        f()
+        return sum(n for k, n in stages().items() if k not in before)
+
+    return count
