@@ -21,6 +21,7 @@ from lexigrid.operators import trends as tr
 from lexigrid.operators import vectors as ve
 from lexigrid.plans import testmodel as tm
 from lexigrid.plans.testmodel import ASSIGN_SQL, PAPERS_SQL, REMAP_SQL, prelude, table
+from lexigrid.runtime import prepare
 from lexigrid.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -735,8 +736,10 @@ def file_checksums(spark, d):
 @query()
 def cache_inventory(spark, d):
     """Raw objects with their sizes and hashes, as the cache lists them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("part"), "length", F.sha2("content", 256).alias("sha256")).filter(~F.col("part").endswith(".meta.json")).orderBy("part")
+    from lexigrid.sources.release import checksums
+
+    files = checksums(prepare(spark), d).checkpoint()  # a sort reads its input twice
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("part"), F.col("bytes").alias("length"), "sha256").filter(~F.col("part").endswith(".meta.json")).orderBy("part")
 
 
 from lexigrid.plans import fields  # noqa: E402, F401  registers its queries, and needs query() from here

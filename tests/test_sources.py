@@ -192,3 +192,19 @@ def test_hash_of_a_large_file_by_steps(spark, tmp_path):
         (tmp_path / "deep" / name).write_bytes(data)
     got = {r.path: (r.bytes, r.sha256) for r in release.checksums(spark, str(tmp_path), step=1000).collect()}
     assert got == {f"deep/{name}": (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
+
+
+def test_queries_hash_large_files_by_steps(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from lexigrid.plans.registry import QUERIES
+
+    data = b"0123456789\n" * 1000
+    (tmp_path / "large").write_bytes(data)
+    seen, plain = [], release._hash_by_steps
+    monkeypatch.setattr(release, "checksums", lambda spark, root, of=release.checksums: of(spark, root, 4000))
+    monkeypatch.setattr(release, "_hash_by_steps", lambda *a: seen.append(a[1:]) or plain(*a))
+    for name in ("file_checksums", "cache_inventory"):
+        (row,) = QUERIES[name](spark, str(tmp_path)).collect()
+        assert row.sha256 == hashlib.sha256(data).hexdigest()
+    assert len(seen) == 2
